@@ -24,7 +24,7 @@ MAX_REPEATS = 3
 BLOCK_TOKENS = 1024
 SEED = "mix"
 #: Documents, or slots, of a source that are ordered together in one window.
-RUN = 4096
+RUN = 1024
 
 
 def document_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, quality_rules, simhash, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_url_filter": url_filter.ORACLE_SQL,
 }
