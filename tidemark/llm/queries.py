@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules, simhash, url_filter
+from . import exact_dedup, mixing, html_extract, quality_classifier, quality_rules, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_simhash": simhash.op8_simhash,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLES = {
