@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, html_extract, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from . import exact_dedup, html_extract, mixing, packing, quality_classifier, quality_rules, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_simhash": simhash.op8_simhash,
+    "op9_packing": packing.op9_packing,
     "op10_html_extract": html_extract.op10_html_extract,
 }
 
