@@ -32,7 +32,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Prices each length gets in one solution, and solutions of what rounding leaves.
 ROUNDS, SOLUTIONS = 8, 12
 #: Pieces left over that are packed one by one.
-LAST = 256
+LAST = 1024
 _CACHE = 500_000
 _RUN = 1024
 
@@ -242,7 +242,7 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, rounds: int =
                 bins[which].append(size)
                 insort(room, (free - size, which))
                 n -= 1
-            elif n > 32 * LAST:
+            elif n > 8 * LAST:
                 per = capacity // size
                 many = n // per
                 packed.append((many, (size,) * per))
