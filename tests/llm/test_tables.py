@@ -1,0 +1,227 @@
+"""Mixing, exact dedup, quality rules, URL filters and packing on small tables, against plain Python."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import exact_dedup, mixing, packing, quality_rules, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row int, _run string, hash string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"word{i % 977}" for i in range(60_000))
+TEXTS = [
+    None, "", " ", "one", "one two\nthree", "one  two\n three", "One two three", "é ü", "a b c d e f a b c d e x", "same same", "same same", LONG, " nbsp word", "x\x0by\x0cz",
+    "line one here\nline one here\nother\n\n \nline one here", "## $$ %% ok", "<b>&|*</b>",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    sources = ["b", "a", None, "a", "c", "a"]
+    rows = [(i, t, "en", sources[i % 6], None if t is None else len(t), 7, "clash", "x") for i, t in enumerate(TEXTS)]
+    rows += [(None, "one two\nthree", None, "b", 13, 7, "clash", "x"), (3, "one", "en", "a", 3, 7, "clash", "x"), (3, "one", "en", "a", 3, 7, "clash", "x"), (4, "another text of the id", "en", "c", 22, 7, "clash", "x")]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def test_mix_reaches_targets_and_repeats_no_document_too_often(docs, empty):
+    out, segments = mixing.mix_sources(docs, block_tokens=64)
+    got = out.collect()
+    assert len(got) == docs.count()
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(words(r.text))
+    assert {r.source: r.source_size for r in got} == dict(sizes)
+    total, order = sum(sizes.values()), sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    while True:  # reshare what stopped sources leave, until none is above
+        left = total - sum(target[s] for s in order if s not in open_)
+        level = left / sum(weight[s] for s in open_) if open_ else 0
+        above = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+        if not above:
+            break
+        for s in above:
+            target[s] = 3 * sizes[s]
+        open_ -= above
+    target |= {s: level * weight[s] for s in open_}
+    taken = Counter()
+    for r in got:
+        assert r.target == pytest.approx(target[r.source]) and 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+    by_slot = defaultdict(int)
+    for s in segments.collect():
+        by_slot[s.source, s.rank] += s.words
+    for s in order:  # equal blocks, all full but a source's last
+        blocks = [by_slot[s, k] for k in range(sum(1 for x, _ in by_slot if x == s))]
+        assert all(b == 64 for b in blocks[:-1]) and sum(blocks) == taken[s]
+    again = mixing.mix_sources(docs.repartition(5), block_tokens=64)[0]
+    assert sorted((r.doc_id or -1, r.size, r.taken) for r in again.collect()) == sorted((r.doc_id or -1, r.size, r.taken) for r in got)
+    assert mixing.mix_sources(empty)[0].isEmpty()
+    zero = mixing.mix_sources(docs.where("text is null or text = ''"))[0].collect()
+    assert len(zero) == 2 and all(r.target == 0 and r.taken == 0 for r in zero)
+
+
+def test_schedule_spreads_each_source(spark):
+    targets = spark.createDataFrame([("a", 6_000), ("b", 1_500), (None, 500)], "source string, take long")
+    slots = mixing.schedule(spark, targets, 1).orderBy("position").collect()
+    assert Counter(s.source for s in slots) == {"a": 6_000, "b": 1_500, None: 500}
+    place = {s: [x.position for x in slots if x.source == s] for s in ("a", "b", None)}
+    for s, n in (("a", 6_000), ("b", 1_500), (None, 500)):
+        assert [x.rank for x in slots if x.source == s] == list(range(n))
+        ideal = np.arange(n) * 8_192 / n
+        assert np.abs(np.array(place[s]) - ideal).max() < 8_192 / n * 14  # low discrepancy: a logarithmic error
+    assert len({x.position for x in slots}) == len(slots)
+
+
+def test_mix_stage_keeps_columns(spark, docs):
+    out = mixing.mix_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert max(r["count"] for r in out.groupBy("doc_id", "text").count().collect()) <= 6  # two equal rows, thrice each
+
+
+def exact_reference(rows):
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
+    groups = defaultdict(list)
+    for (i, _), t in zip(rows, norm):
+        groups[t].append(i)
+    key = lambda i: (i is None, i or 0)
+    return sorted(((i, min(groups[t], key=key), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for (i, _), t in zip(rows, norm)), key=repr)
+
+
+@pytest.mark.parametrize("hash_fn", [F.md5, F.length], ids=["md5", "weak"])
+def test_exact_groups(docs, empty, hash_fn):
+    got = exact_dedup.exact_groups(docs, hash_fn).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == exact_reference([(r.doc_id, r.text) for r in docs.collect()])
+    kept = Counter(r.text_sha256 for r in got if r.kept)
+    assert set(kept.values()) == {1} and len(kept) == len({r.text_sha256 for r in got})
+    assert exact_dedup.exact_groups(empty, hash_fn).isEmpty()
+
+
+def test_exact_groups_of_many(spark):
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy  of it").when(F.col("id") % 3 == 1, "copy of it").otherwise(F.col("id").cast("string")).alias("text"))
+    got = exact_dedup.exact_groups(docs)
+    assert got.where("group_size = 2000 and keep_id = 0").count() == 2_000 and got.where("kept").count() == 1_001
+
+
+def test_exact_stage(spark, docs):
+    out = exact_dedup.exact_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in out.collect()]
+    assert len(texts) == len(set(texts)) == len({t for _, t in [(0, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in docs.collect()]})
+
+
+def rules_reference(text):
+    w = words(text)
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    often = Counter(windows)
+    covered = {k for i, x in enumerate(windows) if often[x] > 1 for k in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    n = (len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
+    return (*n, n[0] < 10 or 100 * n[4] > 20 * n[0])
+
+
+def test_quality_rules(docs, empty):
+    want = sorted(((r.doc_id, *rules_reference(r.text)) for r in docs.collect()), key=repr)
+    got = quality_rules.apply_rules(docs).collect()
+    assert sorted((tuple(r)[:7] for r in got), key=repr) == want
+    assert not any(r.kept for r in got if r.base_failed)
+    assert quality_rules.apply_rules(empty).isEmpty()
+
+
+def test_quality_rules_verdict(spark):
+    clean = "The house on the hill was built in the spring and it is still there, with a garden of its own. " + "Nobody lives in it now but the owls."
+    shout = " ".join(w.upper() + "!!" for w in "this is a very loud text about nothing that goes on for ever".split())
+    table = "one | two | three | four | five | six | seven | eight | nine | ten | eleven | twelve |"
+    out = quality_rules.apply_rules(spark.createDataFrame([(1, clean), (2, shout), (3, table)], "doc_id long, text string"))
+    assert {r.doc_id: r.kept for r in out.collect()} == {1: True, 2: False, 3: False}
+
+
+PAGES = "page_id long, url string, html string, node string, target string"
+
+
+def page(i, url, head=""):
+    return (i, url, f"<html><head>{head}</head><body>x</body></html>", "clash", "clash")
+
+
+def test_url_rules_and_aliases(spark):
+    canonical = '<link rel="canonical" href="{}">'
+    pages = [
+        page(1, "https://www.Example.COM/en/12?x=1"), page(2, "http://example.com/en/73#top"), page(3, "http://a.example.net/de/5"), page(4, "http://a.example.net/de/81"), page(5, "http://x.org/es/1"),
+        page(6, None), page(7, "no scheme/en/"), page(8, "http://notexample.com/en/7"), page(9, "ftp://com/en/"), page(10, "http://evilcom/en/"), page(11, "http://h"), page(12, "http://h?q=/en/"),
+        page(20, "http://mirror.io/a", canonical.format("http://x.org/es/1")), page(21, "http://mirror.io/b", '<meta http-equiv="refresh" content="0; url=/a">'), page(22, "http://mirror.io/c/d", canonical.format("../../b")),
+        page(23, "http://other.io/a", canonical.format("http://x.org/es/2")), page(24, "http://other.io/b", canonical.format("http://other.io/a")), page(25, "http://a.example.net/de/7", canonical.format("//other.io/b?z")),
+        page(26, "http://mirror.io/a"), (27, "http://mirror.io/z", None, "clash", "clash"),
+    ]
+    df = spark.createDataFrame(pages, PAGES)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
+    assert len(got) == len(pages)
+    assert got[1] == ("www.example.com", "/en/12", "com/en/", "block") and got[2] == ("example.com", "/en/73", "example.com/en/7", "allow")
+    assert got[3][2:] == ("net/de/", "allow") and got[4][2:] == ("example.net/de/8", "block") and got[5][2:] == ("org/es/", "block")
+    assert got[6] == got[7] == ("", "", None, "allow")
+    assert got[8][2:] == ("com/en/", "block") and got[9][2:] == ("com/en/", "block") and got[10][2:] == (None, "allow")
+    assert got[11] == ("h", "", None, "allow") and got[12] == ("h", "", None, "allow")
+    assert got[20][3] == got[21][3] == got[26][3] == "block"  # aliases of a blocked address
+    assert got[23][3] == got[24][3] == "allow"  # an allowed address is among theirs
+    assert got[27][3] == "allow" and url_filter.judge_urls(df.where("false")).isEmpty()
+
+
+def test_packing_round_trip(docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.pack(docs).collect()
+    want = Counter()
+    for r in docs.collect():
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[r.doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert packing.pack(empty).isEmpty()
+
+
+@pytest.mark.parametrize("text", ["", " ", "a  b", "a \nb c", "x\ny", "x\n\ny", "don't we're 'll.' a'.b", "a.\n b", "1a2 b.c,,d!?e", "é ü.ñ, ß\n", "中文 字 x", "a\tb c\t d", "a   b", "x!!\ny z ", "a '. b's 's", "ſ K ǅ.. ɐ", "<|endoftext|> a", "\x1c a\x1d b"])
+def test_encoder_equals_the_tokenizer(text):
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.encode(text) == encoder.ids(text) and encoder.encode(text) == encoder.ids(text)
+
+
+@pytest.mark.parametrize("n, seed", [(0, 0), (1, 1), (700, 2), (30_000, 3)])
+def test_packing_program_is_exact_and_close_to_the_bound(n, seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.clip(rng.gamma(2.0, 150, n).astype(int) + 1, 1, 1023)
+    counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True))))
+    packed, got = packing.pack_lengths(counts), Counter()
+    for times, chosen in packed:
+        assert sum(chosen) <= 1024
+        for size in chosen:
+            got[size] += times
+    assert got == Counter(counts)
+    assert sum(t for t, _ in packed) <= -(-int(sizes.sum()) // 1024) * 1.01 + 1

@@ -1,0 +1,343 @@
+"""Toxicity, language model, classifier, SimHash, extraction and the pipeline, against brute force."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from tidemark.llm import common, html_extract, ppm, quality_classifier, simhash, toxicity
+
+SYLLABLES = "the ing er on tion es at ed is or en ha re to st nt".split()
+EXTRA = "doc_id long, text string, mark string, fp string, score string, source string"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def fingerprint(text):
+    w = (text or "").encode().lower().split()
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_docs(rng):
+    texts = [None, "", " \n", "a", "a b", "A B", "a b c", "a  b\tc d"]
+    for _ in range(12):
+        words = prose(rng, 400).split()
+        for _ in range(6):
+            copy = list(words)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(400)] = "changed"
+            texts.append(" ".join(copy))
+    return texts + [texts[-1]] * 30 + [prose(rng, 30_000)]
+
+
+@pytest.mark.parametrize("bucket", [256, 1])
+def test_simhash_components(spark, bucket):
+    texts = near_docs(random.Random(5))
+    docs = spark.createDataFrame([(i * 3, t, "clash", "x", "y", "z") for i, t in enumerate(texts)], EXTRA).repartition(3)
+    prints = [fingerprint(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_groups(docs, bucket=bucket).collect()}
+    assert got == {i * 3: (prints[i], find(i) * 3) for i in range(len(texts))}
+    assert len({find(i) for i in range(len(texts))}) < len(set(prints))  # some links join different texts
+
+
+def test_simhash_edges(spark):
+    rows = [(None, "a b c d"), (7, "a b c d"), (7, "other words stand here now"), (7, "other words stand here now"), (None, "lonely text without an id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_groups(docs)
+    assert got.count() == 5 and got.where("doc_id is null and component_id = 7").count() == 1 and got.where("component_id is null").count() == 1
+    assert simhash.simhash_stage(spark, docs, "").count() == 3
+    assert simhash.near_groups(docs.where("false")).isEmpty()
+
+
+def test_close_pairs_lose_none():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (40, 4), dtype=np.uint64)
+    values = np.unique(np.concatenate([base, *(base ^ flips[:, 0], base ^ flips[:, 1] ^ flips[:, 2], base ^ flips[:, 3])]))
+    left, right = simhash.close_pairs(values)
+    want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (int(values[i]) ^ int(values[j])).bit_count() <= 2}
+    assert {tuple(sorted(map(int, p))) for p in zip(left, right)} == want and len(left) == len(want)
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "cycle"])
+def test_connected_components(spark, shape):
+    n = 200
+    ids = list(range(n))
+    random.Random(1).shuffle(ids)
+    edges = {"chain": list(zip(ids, ids[1:])), "star": [(ids[0], i) for i in ids[1:]], "cycle": list(zip(ids, ids[1:] + ids[:1]))}[shape] + [(1000, 1001), (1001, 1000), (1001, 1001)]
+    got = common.connected_components(common.Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.root for r in got.collect()} == {**dict.fromkeys(range(n), 0), 1000: 1000, 1001: 1000}
+
+
+# Language model --------------------------------------------------------------------------------
+
+
+def ppm_reference(train, texts, order, discount):
+    """Plain dictionaries: contexts of every order, counts, escapes and exclusion, byte by byte."""
+    pad = bytes([10]) * order
+    grams = Counter()
+    for t in train:
+        data = pad + ppm.normalised(t)
+        for i in range(order, len(data)):
+            grams[data[i - order : i + 1]] += 1
+    tables = {order: grams}
+    for j in range(order - 1, -1, -1):
+        tables[j] = Counter(g[1:] for g in tables[j + 1])
+    nodes = {j: defaultdict(dict) for j in tables}
+    for j, table in tables.items():
+        for g, n in table.items():
+            nodes[j][g[:-1]][g[-1]] = n
+    out = []
+    for t in texts:
+        data, total = pad + ppm.normalised(t), 0.0
+        for i in range(order, len(data)):
+            barred = set()
+            for j in range(order, -1, -1):
+                seen = {s: n for s, n in nodes[j].get(data[i - j : i], {}).items() if s not in barred}
+                if not seen:
+                    continue
+                mass = sum(seen.values())
+                if data[i] in seen:
+                    total += math.log10((seen[data[i]] - discount) / mass)
+                    break
+                total += math.log10(len(seen) * discount / mass)
+                barred |= seen.keys()
+            else:
+                total -= math.log10(max(1, 256 - len(nodes[0].get(b"", {}))))
+        out.append(total)
+    return out
+
+
+def base_reference(train, text):
+    tokens = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    count = Counter(w for t in train for w in tokens(t))
+    n, v = sum(count.values()), len(count)
+    mine = tokens(text)
+    return len(mine), sum(count[w] > 0 for w in mine), n, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in mine)
+
+
+@pytest.fixture(scope="module")
+def lm(spark):
+    rng = random.Random(11)
+    texts = [None, "", " ", "UPPER lower", "é ñ", "x" * 300, prose(rng, 4_000), *[prose(rng, 60) for _ in range(40)]]
+    train = [t for i, t in enumerate(texts) if i % 3]
+    docs = spark.createDataFrame([(i, t, "clash", "x", "y", "z") for i, t in enumerate(texts)], EXTRA).repartition(2)
+    return texts, train, docs, docs.where("doc_id % 3 <> 0")
+
+
+@pytest.mark.parametrize("entries", [3_000_000, 2_000])
+def test_ppm_equals_dictionaries(lm, entries):
+    texts, train, docs, train_docs = lm
+    got = {r.doc_id: r for r in ppm.score_documents(docs, train_docs, model_entries=entries).collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(ppm_reference(train, texts, ppm.ORDER, ppm.DISCOUNT)):
+        r = got[i]
+        assert r.score == pytest.approx(want, rel=1e-4)
+        tokens, known, n, base = base_reference(train, texts[i])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n) and r.base_score == pytest.approx(base)
+
+
+def test_ppm_rare_words_and_empty_training(lm, monkeypatch):
+    texts, train, docs, train_docs = lm
+    monkeypatch.setattr(ppm, "COMMON_SHARE", 0.01)  # most words go through the join
+    got = {r.doc_id: r for r in ppm.score_documents(docs, train_docs).collect()}
+    for i, t in enumerate(texts):
+        tokens, known, n, base = base_reference(train, t)
+        assert (got[i].n_known, got[i].n_tokens) == (known, tokens) and got[i].base_score == pytest.approx(base)
+    none = ppm.score_documents(docs, docs.where("false")).collect()
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in none)
+    by = {r.doc_id: r for r in none}
+    assert by[3].score == pytest.approx(-len("upper lower\n") * math.log10(256)) and by[3].base_score == pytest.approx(0.0)
+    assert ppm.score_documents(docs.where("false"), train_docs).isEmpty()
+
+
+def test_ppm_segments_of_long_texts(monkeypatch):
+    buffers = ppm.Buffers(5)
+    text = prose(random.Random(2), 3_000)
+    whole = next(buffers.of([text]))
+    monkeypatch.setattr(ppm, "_SEGMENT", 500)
+    parts = list(buffers.of([text]))
+    assert len(parts) > 3
+    cut = np.concatenate([buffers.grams(d)[~c] for d, c, _, _ in parts])
+    assert (cut == buffers.grams(whole[0])[~whole[1]]).all()
+    assert (np.sort(np.concatenate([buffers.words(d, c)[0] for d, c, _, _ in parts])) == np.sort(buffers.words(whole[0], whole[1])[0])).all()
+
+
+# Toxicity ----------------------------------------------------------------------------------------
+
+
+def test_grammar_weighs_context():
+    scorer = toxicity.Scorer({"=idiot": 0.8})
+    plain, negated, quoted, aimed = (scorer.score(t) for t in ("what an idiot here", "he is never idiot here", "someone said idiot here", "you idiot"))
+    assert negated < plain < aimed and quoted < plain
+    assert scorer.score("i will kill you") > scorer.score("the kill was noted") and scorer.score("an idiot. an idiot") > plain
+    assert scorer.score(None) == scorer.score("") == scorer.score("calm words") == toxicity.NO_MATCH
+
+
+def test_composition_is_a_deterministic_machine():
+    arcs = toxicity.grammar()
+    states = {s for s, _ in arcs}
+    assert len(arcs) == 7 * len(states) and {n for n, _ in arcs.values()} <= states and (0, toxicity.OTHER) in arcs
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(1_200):
+        words = prose(rng, 60).split()
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(4):
+                words.insert(rng.randrange(60), rng.choice(["grobian", "vlekka", "vlekto", "vlekui", "moltron"]))
+        good = i % 5 != 0
+        text = " ".join(words) if good else " ".join(w + "$$$" for w in words)
+        docs.append((i, text, "clash", "x", "y", "z"))
+        labels.append((i, int(good), int(toxic)))
+    docs += [(9_000, None, "clash", "x", "y", "z"), (9_001, "", "clash", "x", "y", "z"), (None, "grobian grobian", "clash", "x", "y", "z")]
+    return spark.createDataFrame(docs, EXTRA).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def outcome(rows, truth, limit):
+    held = [(r.score >= limit, truth[r.doc_id]) for r in rows if r.doc_id in truth]
+    right = sum(p == t for p, t in held) / len(held)
+    return right
+
+
+def test_toxicity_on_held_out_rows(labelled):
+    docs, labels = labelled
+    lexicon = toxicity.fit(docs, labels)
+    assert "=grobian" in lexicon and "^vlek" in lexicon and all(k in ("=grobian", "=moltron") or k[1:5] == "vlek" for k in lexicon)
+    truth = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+    rows = toxicity.score_toxicity(docs, lexicon).collect()
+    assert len(rows) == docs.count() and outcome(rows, truth, toxicity.THRESHOLD) > 0.98
+    assert toxicity.fit(docs, labels.where("false")) == {} and toxicity.fit(docs, labels.where("toxic = 0")) == {}
+    assert toxicity.score_toxicity(docs.where("false"), lexicon).isEmpty()
+
+
+def test_classifier_on_held_out_rows(labelled):
+    docs, labels = labelled
+    trees = quality_classifier.fit(docs, labels)
+    truth = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    rows = quality_classifier.classify(docs, trees).collect()
+    assert len(rows) == docs.count() and outcome(rows, truth, quality_classifier.THRESHOLD) > 0.98
+    flat = quality_classifier.fit(docs, labels.where("quality = 1"))
+    assert all(0 <= r.score <= 1 for r in quality_classifier.classify(docs, flat).collect())
+    none = quality_classifier.fit(docs, labels.where("false"))
+    assert {r.score for r in quality_classifier.classify(docs, none).collect()} == {0.5}
+
+
+def test_flattened_trees_walk_as_nested_ones():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 20))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    trees = quality_classifier.grow(x, y, trees=20)
+    binned = quality_classifier.bins(x, trees.edges)
+
+    def walk(node, row):
+        while trees.feature[node] >= 0:
+            node = node + 1 if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+        return trees.value[node]
+
+    want = [1 / (1 + math.exp(-(trees.base + sum(walk(r, row) for r in trees.roots)))) for row in binned]
+    assert trees.score(x) == pytest.approx(want) and ((trees.score(x) > 0.5) == y).mean() > 0.97
+
+
+# Extraction --------------------------------------------------------------------------------------
+
+
+def test_lines_of_markup():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li>menu</ul></nav><!-- <p>no</p> -->
+    <div class="ad">buy</div><div id='cookie-notice'>cookies</div><article class="post"><header><h1>Head &amp; more</h1></header><p>one <b>two<br>three<p>four&nbsp;&lt;x&gt; <i>f</i>ive
+    <aside>side</aside><form><p>mail</p></form><section class="comments"><p>first!</p></section><ul><li>item</li></ul></article><footer>&copy; us</footer></body></html>"""
+    assert [t for t, kind in html_extract.lines_of(page) if kind == html_extract.MAIN] == ["Head & more", "one two three", "four <x> five", "item"]
+    assert [t for t, kind in html_extract.lines_of(page) if kind == html_extract.OPEN] == []
+    for odd in (None, "", "<", "<p", "text only", "<article><p>cut off", "</div></p>", "<p title='a>b'>x</p>", "<script>never ends", "<!-- never ends"):
+        html_extract.lines_of(odd)
+    assert html_extract.lines_of("<article><p>cut off") == [("cut off", html_extract.MAIN)]
+
+
+def lcs_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_shared_is_a_longest_common_subsequence():
+    rng = random.Random(8)
+    for _ in range(60):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        got = sorted(html_extract.shared(a, b))
+        assert len(got) == lcs_length(a, b)
+        it = iter(b)
+        assert all(a[i] in it for i in got)
+
+
+def test_differencing_deletes_what_neighbours_share(spark):
+    template = "<body><div>Site name</div><div>{}</div><div>All rights reserved</div></body>"
+    rows = [(i, f"http://{h}.com/p/{i:03}", template.format(f"story {h} {i}"), "clash", "x") for i, h in enumerate("aaabbbbbb")]
+    rows += [(50, "http://alone.com/", template.format("alone"), "clash", "x"), (51, None, None, "clash", "x"), (52, "http://a.com/p/000", template.format("story a 52"), "clash", "x"), (53, "http://z.com/1", "<article>kept</article>x", "clash", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, lines string, host string").repartition(5)
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
+    assert len(got) == len(rows) and all(got[i] == f"story {h} {i}" for i, h in enumerate("aaabbbbbb"))
+    assert got[50] == "Site name\n\nalone\n\nAll rights reserved" and got[51] == "" and got[52] == "story a 52" and got[53] == "kept"
+    assert html_extract.extract_text(pages.where("false")).isEmpty()
+
+
+# The pipeline ------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, labelled, tmp_path):
+    docs, labels = labelled
+    folder = str(tmp_path)
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(r.doc_id, r.text, "en", "ab"[i % 2], len(r.text or "")) for i, r in enumerate(docs.collect())]
+    rows += [(5_000 + i, rows[1][1], "en", "a", 1) for i in range(40)]
+    spark.createDataFrame(rows, columns).write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mixing", "packing"]
+    at = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, at, folder)
+        out.write.parquet(f"{folder}/{k}")
+        at = spark.read.parquet(f"{folder}/{k}")
+        kept.append(at)
+        if k < 4:
+            assert at.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    left = {r.doc_id for r in kept[0].collect()}
+    assert len(toxic & left) <= 0.05 * len(toxic) and len(left - toxic) >= 0.999 * (len(rows) - len(toxic) - 1)
+    texts = [re.sub(r"\s+", " ", r.text or "") for r in kept[1].collect()]
+    assert len(texts) == len(set(texts)) == len({re.sub(r"\s+", " ", r.text or "") for r in kept[0].collect()})
+    prints = [fingerprint(r.text) for r in kept[2].collect()]
+    assert len(prints) == len(set(prints))
+    assert {r.doc_id for r in kept[3].collect()} <= {r.doc_id for r in kept[2].collect()}
+    assert {r.doc_id for r in kept[4].collect()} == {r.doc_id for r in kept[3].collect()}
+    assert kept[4].groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 1024").isEmpty()
+    assert corpus_pipeline.run(spark, folder).count() == kept[4].count()

@@ -187,6 +187,8 @@ class Table:
         """Position of each key, -1 where there is none."""
         at = self.home(keys)
         out = self.slots[at]
+        if not len(self.keys):
+            return out
         todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
         while len(todo):
             at[todo] = (at[todo] + 1) & self.mask
