@@ -37,6 +37,8 @@ PREFIXES = (4, 5, 6)
 LEAST_SHARE, FALSE_ENTRY = 0.5, 0.01
 #: A beginning is an entry of its own if it is in so many times the toxic documents of its commonest word.
 BEGINNING_GAIN = 1.25
+#: ... and so many times those of a longer beginning.
+LONGER_GAIN = 1.1
 FOLDS, FOLD = 3, 1
 THRESHOLD = 0.7
 NO_MATCH = 0.01
@@ -129,13 +131,18 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     divergence = share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     sure = counts.where("toxic >= 3").where((share >= LEAST_SHARE) & (share > rate) & (F.col("n") * divergence >= F.log(F.lit(tried / FALSE_ENTRY))))
     found = {r.feature: (r.toxic, r.n) for r in sure.collect()}
-    words = [(name[1:], toxic) for name, (toxic, _) in found.items() if name[0] == "="]
-
-    def common(name: str, toxic: int) -> bool:
-        """Whether a beginning tells more than the one word that it mostly begins."""
-        return name[0] == "=" or toxic >= BEGINNING_GAIN * max((t for w, t in words if w.startswith(name[1:])), default=0)
-
-    return {name: sureness(toxic, n) for name, (toxic, n) in found.items() if common(name, toxic)}
+    inner = [(name[0], name[1:], toxic) for name, (toxic, _) in found.items()]
+
+    def tells_more(name: str, toxic: int) -> bool:
+        """Whether a beginning tells more than the one word that it mostly begins, or a longer beginning in its place."""
+        at = name[1:]
+        most = {"=": 0, "^": 0}
+        for kind, other, t in inner:
+            if other.startswith(at) and (kind == "=" or other != at):
+                most[kind] = max(most[kind], t)
+        return toxic >= BEGINNING_GAIN * most["="] and toxic >= LONGER_GAIN * most["^"]
+
+    return {name: sureness(toxic, n) for name, (toxic, n) in found.items() if name[0] == "=" or tells_more(name, toxic)}
 
 
 def sureness(toxic: int, n: int, z: float = 1.64) -> float:
