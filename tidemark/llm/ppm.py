@@ -303,7 +303,7 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = ORDER, model
     first, first_counts = two.column("key").to_numpy(), two.column("n").to_numpy()
     shards = max(1, -(-entries // model_entries))
 
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     tables: list[DataFrame] = []
     for shard in range(shards):
@@ -337,27 +337,29 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = ORDER, model
                         n_known += np.bincount(of[hit], minlength=size)
                         rare_of.append(of[~hit])
                         rare_key.append(hashed[~hit])
-                columns = [batch.column("row"), batch.column("doc_id"), pa.array(score)]
+                columns = [batch.column("row"), batch.column("doc_id"), batch.column("mark"), pa.array(score)]
                 if shard == 0:
                     of = np.concatenate(rare_of) if rare_of else np.zeros(0, np.int64)
                     key = np.concatenate(rare_key) if rare_key else np.zeros(0, np.int64)
                     by_doc = np.argsort(of, kind="stable")
                     offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=size))]).astype(np.int32)
                     columns += [pa.array(base), pa.array(n_tokens), pa.array(n_known), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[by_doc]))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "score", "base", "n_tokens", "n_known", "rare"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "mark", "score", "base", "n_tokens", "n_known", "rare"][: len(columns)])
 
-        schema = f"row long, doc_id {kind}, score double" + (", base double, n_tokens long, n_known long, rare array<long>" if shard == 0 else "")
+        schema = f"row long, doc_id {kind}, mark long, score double" + (", base double, n_tokens long, n_known long, rare array<long>" if shard == 0 else "")
         tables.append(scratch.write(slim.mapInArrow(run, schema), f"scores{shard}"))
     scored = tables[0]
-    rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+    rare = scored.select("row", F.explode("rare").alias("key"))
     seldom = words.where(F.col("n") < least)
     found = rare.join(seldom, "key", "left")
     c = F.coalesce("n", F.lit(0))
-    rest = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(c + F.lit(0.1))).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    rest = found.groupBy("row").agg(F.sum(F.log10(c + F.lit(0.1))).alias("rare_base"), F.count_if(c > 0).alias("rare_known"))
     out = scored.join(scratch.write(rest, "rest"), "row", "left")
     total = F.col("score")
     for k, more in enumerate(tables[1:]):
-        out = out.join(more.select(F.col("row"), F.col("score").alias(f"score{k}")), "row")
+        # Another pass may number rows otherwise; a row is known again by its id and text.
+        other = more.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.max("score").alias(f"score{k}"))
+        out = out.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).drop("_id", "_mark")
         total = total + F.col(f"score{k}")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)
     return out.select(
