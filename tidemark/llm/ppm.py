@@ -35,8 +35,8 @@ MODEL_ENTRIES = 3_000_000
 #: Words that make up at least this share of all tokens are at most 1 / COMMON_SHARE.
 COMMON_SHARE = 1 / 200_000
 _END = 10
-_SEGMENT = 1 << 20
-_FLUSH = 1 << 21
+_SEGMENT = 1 << 19
+_FLUSH = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -61,7 +61,7 @@ class Buffers:
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.size:
-            self.size = max(n, 4 * _SEGMENT)
+            self.size = max(n, 2 * _SEGMENT)
             step, back = np.full(self.size, _ODD, _U), np.full(self.size, pow(_ODD, -1, 1 << 64), _U)
             step[0] = back[0] = 1
             self.step, self.back = np.cumprod(step, dtype=_U), np.cumprod(back, dtype=_U)
@@ -143,6 +143,7 @@ def counts_of(docs: DataFrame, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffers, total = Buffers(order), 0
+        worker_model(None, lambda: None)  # that of an earlier query gives way
 
         def rows(kind: int, sums: Sums) -> pa.RecordBatch:
             keys, n = sums.merged()
@@ -215,12 +216,19 @@ class Model:
         known: dict[int, tuple] = {}
         with np.errstate(divide="ignore", invalid="ignore"):
             for j in range(order + 1):
-                node, of, kinds = np.unique(pair_keys[j] >> _U(8), return_inverse=True, return_counts=True)
+                # Keys are sorted, so a context's stand together.
+                contexts = pair_keys[j] >> _U(8)
+                begin = np.concatenate([[True], contexts[1:] != contexts[:-1]])[: len(contexts)]
+                node, of = contexts[begin], (np.cumsum(begin) - 1).astype(np.int32)
+                kinds = np.bincount(of, minlength=len(node))
+                del contexts, begin
                 total = np.bincount(of, pair_counts[j], len(node))
                 self.pairs[j], self.nodes[j] = Table(pair_keys[j]), Table(node)
                 mass = np.log10(pair_counts[j] - discount)
-                self.share[j] = mass.astype(np.float32)
                 self.full[j] = (mass - np.log10(total)[of]).astype(np.float32)
+                # The longest contexts are never entered by an escape.
+                self.share[j] = self.full[j] if j == order else mass.astype(np.float32)
+                del mass
                 self.leave[j] = np.log10(kinds * discount / total).astype(np.float32)
                 if j:
                     above, above_total, above_kinds = known[j - 1]
@@ -260,10 +268,10 @@ class Model:
         return out
 
 
-def worker_model(mark: str, make: Callable[[], Model]) -> Model:
+def worker_model(mark: str | None, make: Callable[[], Model | None]) -> Model | None:
     """The model that this Python worker used last, if it is the one marked, else a new one in its place."""
     state = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
-    if state.__dict__.get("model_mark") != mark:
+    if state.__dict__.get("model_mark") != mark or mark is None:
         state.model = None
         state.model, state.model_mark = make(), mark
     return state.model
