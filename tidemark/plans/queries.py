@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, sketches
 from ..operators import changelog, eventtime, flow, joins, registry, rollup, topk, unified, windows
 from ..sources import generators, tables
+from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -549,6 +550,61 @@ def replay_determinism(spark, d):
     return changelog.tables_equal(once, again)
 
 
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS running FROM events")
+def running_count(spark, d):
+    return tables.table(spark, d, "events").select("event_id", "user_id", F.count("*").over(Window.partitionBy("user_id").orderBy("event_id")).alias("running"))
+
+
+@query("SELECT 'impression' AS kind, event_id, user_id FROM events WHERE event_type = 'view' UNION ALL SELECT 'click', event_id, user_id FROM events WHERE event_type = 'click'")
+def merged_streams(spark, d):
+    df = tables.table(spark, d, "events")
+    views, clicks = (df.where(F.col("event_type") == e).select(F.lit(kind).alias("kind"), "event_id", "user_id") for e, kind in (("view", "impression"), ("click", "click")))
+    return views.unionByName(clicks)
+
+
+# Streams -----------------------------------------------------------------------------------------
+
+
+def _stream(spark, d):
+    """events as a stream with t and seq."""
+    schema = tables.table(spark, d, "events").schema
+    return tables.with_times(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+
+
+def _finished(spark, df: DataFrame, mode: str) -> DataFrame:
+    """What a stream has emitted when its sources are at their end."""
+    folder = streams.scratch_folder(spark)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/out")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def stream_counts(spark, d):
+    return _finished(spark, unified.count_step(_stream(spark, d), "user_id"), "complete")
+
+
+@query(f"""WITH {E}, w AS (SELECT event_type, t // 3600 * 3600 AS window_start, count(*) AS n FROM e GROUP BY ALL)
+SELECT * FROM w WHERE window_start + 3600 <= (SELECT max(t) - {TEN_MINUTES} FROM e)""")
+def stream_windows(spark, d):
+    """Closed windows only, as append mode has it; in one batch no event is late."""
+    return _finished(spark, streams.windowed_counts(_stream(spark, d), "t", HOUR, TEN_MINUTES, ["event_type"]), "append")
+
+
+@query(f"""WITH {E}, m AS (SELECT *, t // {DAY} * {DAY} AS w, max(t) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {TEN_MINUTES} AS wm FROM e),
+l AS (SELECT *, coalesce(wm >= w + {DAY}, false) AND row_number() OVER (PARTITION BY user_id, w ORDER BY seq) > 1 AS late FROM m),
+x AS (SELECT user_id, max(t) - {TEN_MINUTES} AS final FROM e GROUP BY user_id)
+SELECT l.user_id::VARCHAR AS key, w AS window_start, count(*) AS n FROM l JOIN x USING (user_id) WHERE NOT late GROUP BY l.user_id, w, final HAVING w + {DAY} <= final""")
+def stream_late_drop(spark, d):
+    """The lateness rule event by event, per user, with state."""
+    return _finished(spark, streams.exact_late_drop(_stream(spark, d), "t", "seq", DAY, TEN_MINUTES, "user_id"), "append")
+
+
 # Flow control ------------------------------------------------------------------------------------
 
 FLOW = """WITH RECURSIVE s AS (

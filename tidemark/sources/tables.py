@@ -15,7 +15,10 @@ def seconds(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """events with `t`, its time in seconds, and `seq`, a derived order of arrival in which some events are late."""
-    df = table(spark, folder, "events")
+def with_times(df: DataFrame) -> DataFrame:
+    """Adds `t`, the time in seconds, and `seq`, a derived order of arrival in which some events are late."""
     return df.withColumn("t", seconds(F.col("ts"))).withColumn("seq", (F.col("event_id") + F.col("event_id") * 7919 % 23) * 1_000_000_000 + F.col("event_id") % 1_000_000_000)
+
+
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    return with_times(table(spark, folder, "events"))
