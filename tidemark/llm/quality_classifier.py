@@ -123,9 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
             found = [statistics(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
 
-    table = labelled_sample(docs, labels, "quality", FOLDS, FOLD, rows).mapInArrow(run, "x array<double>, label int").orderBy("label", "x").toArrow()
+    table = labelled_sample(docs, labels, "quality", FOLDS, FOLD, rows).mapInArrow(run, "x array<double>, label int").toArrow()
     x = np.array(table.column("x").to_pylist(), np.float64).reshape(-1, len(STATISTICS))
-    return grow(x, table.column("label").to_numpy().astype(np.float64))
+    y = table.column("label").to_numpy().astype(np.float64)
+    order = np.lexsort((*x.T, y))  # one order for one set of rows, so that reruns agree
+    return grow(x[order], y[order])
 
 
 def classify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
