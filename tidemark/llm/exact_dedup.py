@@ -48,8 +48,9 @@ def exact_groups(
         groups = rows.groupBy("hash", "version").agg(F.min(order).alias("keep"), F.count("*").alias("group_size")).where("group_size > 1")
         groups = scratch.write(groups.select("hash", "version", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), F.col("keep.text_sha256").alias("keep_sha256"), "group_size"), "groups")
         # Texts of the rows of these groups: one shuffle of the texts, by row; what is written is members only.
-        members = rows.where(F.col("version") == version).join(groups, ["hash", "version"])
-        members = members.groupBy("doc_id", "text_sha256", "hash", "version", "keep_id", "keep_sha256", "group_size").agg(F.min("row").alias("row"))
+        # The join is written before it is grouped, so that AQE can split it where a group is large.
+        joined = scratch.write(rows.where(F.col("version") == version).join(groups, ["hash", "version"]), "joined")
+        members = joined.groupBy("doc_id", "text_sha256", "hash", "version", "keep_id", "keep_sha256", "group_size").agg(F.min("row").alias("row"))
         members = scratch.write(members.withColumnsRenamed({"doc_id": "_id", "text_sha256": "_sha"}), "members")
         fetched = source.select("doc_id", "text_sha256", "text").join(members, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")))
         first = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_sha") == F.col("keep_sha256"))
