@@ -28,10 +28,9 @@ def shard_of(user: str, shards: int, seed: int = 99):
     return hash32(F.col(user).cast("string"), seed) % shards
 
 
-def shard_candidates(df: DataFrame, by: list[str], item: str, k: int, depth: int = 4, width: int = 1024) -> DataFrame:
-    """(*by, item): each shard's k items of greatest estimate."""
-    grid = count_min(df, item, depth, width, by)
-    estimates = count_min_estimate(grid, df.select(*by, item), item, depth, width, by)
+def shard_candidates(grid: DataFrame, counts: DataFrame, by: list[str], item: str, k: int, depth: int = 4, width: int = 1024) -> DataFrame:
+    """(*by, item): each shard's k items of greatest estimate on the shard's grid."""
+    estimates = count_min_estimate(grid, counts, item, depth, width, by)
     return per_group(estimates, by, item, "estimate", k).select(*by, item)
 
 
@@ -39,10 +38,12 @@ def fast_path(df: DataFrame, window: str, shard: str, item: str, k: int, pool: i
     """(hourly, daily) top k from sketches: (window, item, estimate, rank) and (item, estimate, rank).
 
     Shard sketches merge into one a window, windows into one for all; the candidates of the shards,
-    at most `pool` each, are estimated anew on the merged sketch and ranked.
+    at most `pool` each, are estimated anew on the merged sketch and ranked. Events are read once,
+    into counts that the sketches are made from.
     """
-    grids = count_min(df, item, depth, width, [window, shard])
-    candidates = shard_candidates(df, [window, shard], item, pool, depth, width)
+    counts = df.groupBy(window, shard, item).agg(F.count("*").alias("n"))
+    grids = count_min(counts, item, depth, width, [window, shard], F.col("n"))
+    candidates = shard_candidates(grids, counts, [window, shard], item, pool, depth, width)
     merged = count_min_merge(grids, by=[window])
     hourly = count_min_estimate(merged, candidates.select(window, item).distinct(), item, depth, width, [window])
     daily = count_min_estimate(count_min_merge(merged), candidates.select(item).distinct(), item, depth, width)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +25,17 @@ def tumbling(df: DataFrame, ts: str, size: int, by: list[str] | tuple = (), aggr
 def sliding(df: DataFrame, ts: str, size: int, slide: int, by: list[str] | tuple = (), anchor: int = 0) -> DataFrame:
     """(*by, window_start, n): every window from the anchor to the last event's, those without events too.
 
-    Windows start at anchor + k * slide and none before the anchor. Each event goes to its own windows;
-    the spine of all windows is made from one row of bounds for each key.
+    Windows start at anchor + k * slide and none before the anchor. Events are counted by pane (the
+    greatest common divisor of size and slide) first, and panes, not events, go to the windows that
+    hold them; the spine of all windows is made from one row of bounds for each key.
     """
-    last = F.floor((F.col(ts) - anchor) / slide).cast("long")
-    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col(ts) - anchor - size) / slide).cast("long") + 1)
-    hits = df.where(F.col(ts) >= anchor).select(*by, F.explode(F.sequence(first, F.when(last >= first, last).otherwise(first))).alias("k"), F.col(ts).alias("_ts"))
+    grain = math.gcd(size, slide)
+    panes = df.where(F.col(ts) >= anchor).groupBy(*by, (anchor + F.floor((F.col(ts) - anchor) / grain).cast("long") * grain).alias("_ts")).agg(F.count("*").alias("_n"))
+    last = F.floor((F.col("_ts") - anchor) / slide).cast("long")
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("_ts") - anchor - size) / slide).cast("long") + 1)
+    hits = panes.select(*by, F.explode(F.sequence(first, F.greatest(first, last))).alias("k"), "_ts", "_n")
     hits = hits.where((F.col("_ts") >= anchor + F.col("k") * slide) & (F.col("_ts") < anchor + F.col("k") * slide + size))
-    counts = hits.groupBy(*by, "k").agg(F.count("*").alias("n"))
+    counts = hits.groupBy(*by, "k").agg(F.sum("_n").alias("n"))
     spine = df.groupBy(*by).agg(F.max(ts).alias("_last")).where(F.col("_last") >= anchor)
     spine = spine.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_last") - anchor) / slide).cast("long"))).alias("k"))
     return spine.join(counts, [*by, "k"], "left").select(*by, (anchor + F.col("k") * slide).alias("window_start"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
