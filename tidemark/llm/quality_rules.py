@@ -129,3 +129,28 @@ def apply_rules(docs: DataFrame, thresholds: tuple = THRESHOLDS, id_col: str = "
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, unnest(range(1, len(w) - {WINDOW - 2})) AS i, w FROM d WHERE len(w) > {WINDOW}),
+k AS (SELECT r, i, w[i : i + {WINDOW - 1}] AS key FROM x),
+often AS (SELECT *, count(*) OVER (PARTITION BY r, key) AS n FROM k),
+covered AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM often WHERE n > 1) GROUP BY r),
+f AS (
+  SELECT r, doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         len(string_split(text, chr(10))) AS n_lines, length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_upper,
+         len(list_filter(w, lambda a: lower(a) IN ({_STOP}))) AS n_stop, len(list_filter(w, lambda a: ends_with(a, '!!'))) AS n_exclaimed, len(list_filter(w, lambda a: a = '|')) AS n_bars,
+         len(list_filter(list_zip(w, [NULL] || w), lambda p: p[1] = p[2])) AS n_echoes
+  FROM d),
+g AS (SELECT f.*, coalesce(n_repeat_words, 0) AS n_repeat_words, greatest(n_words, 1)::DOUBLE AS words, greatest(word_chars, 1)::DOUBLE AS chars FROM f LEFT JOIN covered USING (r)),
+h AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM g)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND n_symbols / chars <= 0.1 AND n_bars / words <= 0.15 AND (n_words < 20 OR word_chars / words BETWEEN 2.0 AND 15.0) AND n_upper / chars <= 0.5 AND n_exclaimed / words <= 0.3
+  AND n_echoes / words <= 0.3 AND (n_words < 100 OR n_stop / words >= 0.01) AND n_dup_lines / greatest(n_lines, 1)::DOUBLE <= 0.5 AS kept
+FROM h
+"""

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_mixing": mixing.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
 }
