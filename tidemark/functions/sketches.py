@@ -18,10 +18,16 @@ from .hashing import hash32
 def count_min(df: DataFrame, item: str, depth: int = 5, width: int = 2000, by: list[str] | tuple = (), weight: Column | None = None) -> DataFrame:
     """(*by, row, col, n): cell (row, hash32(item, row) mod width) holds the sum of its items' counts."""
     items = df.groupBy(*by, F.col(item).alias("item")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
-    cells = items.select(*by, "n", F.posexplode(F.array(*[hash32(F.col("item"), r) % width for r in range(depth)])).alias("row", "col"))
+    cells = _cells(items.select(*by, "n", "item"), "item", depth, width)
     return cells.groupBy(*by, "row", "col").agg(F.sum("n").alias("n"))
 
 
+def _cells(df: DataFrame, item: str, depth: int, width: int) -> DataFrame:
+    """Adds an item's cells, one row each: the hash is one expression with the row as its seed, so generated code stays small."""
+    rows = df.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+    return rows.withColumn("col", hash32(F.col(item), F.col("row")) % width)
+
+
 def count_min_merge(grids: DataFrame, *more: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
     """Cell-wise sum of grids of one shape. One grid with more key columns merges over those not in `by`."""
     for grid in more:
@@ -32,7 +38,7 @@ def count_min_merge(grids: DataFrame, *more: DataFrame, by: list[str] | tuple =
 def count_min_estimate(grid: DataFrame, items: DataFrame, item: str, depth: int = 5, width: int = 2000, by: list[str] | tuple = ()) -> DataFrame:
     """(*by, item, estimate): the least of an item's cells, 0 where a cell is empty. Never below the true count."""
     probes = items.select(*by, item).distinct()
-    probes = probes.select(*by, item, F.posexplode(F.array(*[hash32(F.col(item), r) % width for r in range(depth)])).alias("row", "col"))
+    probes = _cells(probes, item, depth, width)
     found = probes.join(grid, [*by, "row", "col"], "left")
     return found.groupBy(*by, item).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
