@@ -44,9 +44,9 @@ def late_drop_windows(df: DataFrame, ts: str, arrival: str, event_id: str, size:
     """
     marked = mark_late(df, ts, arrival, size, lateness, run)
     taken = marked.where(~F.col("late")).groupBy("window_start").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(arrival).alias("a"), F.col(event_id).alias("id")))).alias("_ids"))
-    final = df.agg((F.max(ts) - lateness).alias("_final"))
+    final = df.agg(F.max(ts) - lateness).scalar()
     ids = F.transform("_ids", lambda x: x["id"])
-    return taken.join(F.broadcast(final)).select("window_start", (F.col("window_start") + size).alias("window_end"), "n", ids.alias("ids"), (F.col("_final") >= F.col("window_start") + size).alias("closed"))
+    return taken.select("window_start", (F.col("window_start") + size).alias("window_end"), "n", ids.alias("ids"), (final >= F.col("window_start") + size).alias("closed"))
 
 
 def late_events(df: DataFrame, ts: str, arrival: str, size: int, lateness: int, run: int = RUN) -> DataFrame:

@@ -41,15 +41,20 @@ def as_of(facts: DataFrame, versions: DataFrame, ts: str, valid_from: str, value
     out = [*by, *[F.col("_fact")[c].alias(c) for c in rest]]
     if not first_before:
         return joined.select(*out, F.col("_found.v").alias(value))
-    first = versions.groupBy(*by).agg(F.min_by(F.struct(F.col(value).alias("v")), valid_from).alias("_first"))
-    joined = joined.join(first, [*by], "left") if by else joined.join(F.broadcast(first))  # without keys, first is one row
+    first = F.min_by(F.struct(F.col(value).alias("v")), valid_from).alias("_first")
+    if by:
+        joined = joined.join(versions.groupBy(*by).agg(first), [*by], "left")
+    else:
+        joined = joined.withColumn("_first", versions.agg(first).scalar())
     return joined.select(*out, F.coalesce("_found", "_first")["v"].alias(value))
 
 
 def current(facts: DataFrame, versions: DataFrame, valid_from: str, value: str, by: list[str] | tuple = ()) -> DataFrame:
     """Facts with the latest version's value, whenever they happened."""
-    last = versions.groupBy(*by).agg(F.max_by(value, valid_from).alias(value))
-    return facts.join(last, [*by], "left") if by else facts.join(F.broadcast(last))
+    last = F.max_by(value, valid_from).alias(value)
+    if by:
+        return facts.join(versions.groupBy(*by).agg(last), [*by], "left")
+    return facts.withColumn(value, versions.agg(last).scalar())
 
 
 def table_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -230,8 +230,8 @@ def hll_merge(spark, d):
 w AS (SELECT (0.7213 / (1 + 1.079 / 4096)) * 4096 * 4096 / (s + empty) AS raw, empty FROM z)
 SELECT floor(CASE WHEN raw <= 2.5 * 4096 AND empty > 0 THEN 4096.0::DOUBLE * ln(4096.0::DOUBLE / empty) ELSE raw END + 0.5)::BIGINT AS estimate, (SELECT count(DISTINCT event_id) FROM events) AS exact FROM w""")
 def hll_estimate(spark, d):
-    exact = tables.table(spark, d, "events").agg(F.count_distinct("event_id").alias("exact"))
-    return sketches.hll_estimate(sketches.hll_registers(_ids(spark, d), "item")).join(F.broadcast(exact))
+    exact = tables.table(spark, d, "events").agg(F.count_distinct("event_id")).scalar()
+    return sketches.hll_estimate(sketches.hll_registers(_ids(spark, d), "item")).withColumn("exact", exact)
 
 
 M, K = 20_000, 7
@@ -270,10 +270,10 @@ round(pow(1 - exp(-{K}.0 * (SELECT count(*) FROM n) / {M}), {K}), 9) AS theory F
 def bloom_errors(spark, d):
     members, every, bits = _bloom(spark, d)
     tested = joins.member_flag(sketches.bloom_test(bits, every, "item", M, K), members, "item")
-    n = members.agg(F.count("*").alias("n"))
+    n = members.agg(F.count("*")).scalar()
     counted = tested.agg(F.count_if(F.col("member") & ~F.col("maybe")).alias("false_negatives"), F.count_if(~F.col("member") & F.col("maybe")).alias("false_positives"))
-    theory = F.round(F.pow(1 - F.exp(F.lit(-float(K)) * F.col("n") / M), F.lit(float(K))), 9)
-    return counted.join(F.broadcast(n)).select("false_negatives", "false_positives", theory.alias("theory"))
+    theory = F.round(F.pow(1 - F.exp(F.lit(-float(K)) * n / M), F.lit(float(K))), 9)
+    return counted.withColumn("theory", theory)
 
 
 @query()
@@ -406,8 +406,8 @@ SNAPSHOTS = f"""{LOG}, o AS (SELECT user_id, arg_max_null(value, seq) AS value F
 SELECT user_id, CASE WHEN a.value IS NULL THEN 'c' WHEN b.value IS NULL THEN 'd' ELSE 'u' END AS op, a.value AS before, b.value AS after FROM a FULL JOIN b USING (user_id) WHERE a.value IS DISTINCT FROM b.value""")
 def cdc_snapshots(spark, d):
     log = _log(spark, d)
-    half = log.agg(F.floor(F.count("*") / 2).alias("half"))
-    old = log.join(F.broadcast(half)).where("seq < half")
+    half = log.agg(F.floor(F.count("*") / 2)).scalar()
+    old = log.where(F.col("seq") < half)
     return changelog.snapshot_changes(changelog.fold(old, ["user_id"], "value", "seq"), changelog.fold(log, ["user_id"], "value", "seq"), ["user_id"], "value")
 
 
