@@ -71,6 +71,43 @@ def test_simhash_edges(spark):
     assert simhash.near_groups(docs.where("false")).isEmpty()
 
 
+def test_simhash_stage_links_similar_texts(spark):
+    """Five-word shingles, similarity 0.8, against every pair."""
+    rng = random.Random(21)
+    texts = [None, "", "a b", "A  b"]
+    for n in (20, 60, 200, 400):
+        for _ in range(4):
+            words = prose(rng, n).split()
+            for edits in (0, 1, 1, 2, 3, 5, 8):
+                copy = list(words)
+                for _ in range(edits * n // 200 or edits % 2):
+                    copy[rng.randrange(n)] = f"changed{rng.randrange(9)}"
+                texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    parent, linked, far = list(range(len(texts))), 0, 0
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                linked += sets[i] != sets[j]
+                far += (fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > 2
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert linked > 50 and far > 25  # most are not within two bits
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert {r.doc_id for r in simhash.simhash_stage(spark, docs, "").collect()} == {find(i) for i in range(len(texts))}
+    assert simhash.similar_groups(docs.where("false")).isEmpty()
+
+
 def test_close_pairs_lose_none():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)

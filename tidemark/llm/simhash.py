@@ -8,6 +8,14 @@ by bit. A bucket hands on a spanning star for each of its connected parts, so wh
 more than its members. A bucket of more than BUCKET fingerprints is not compared pair by pair:
 there, each fingerprint names itself and its 64 neighbours at one bit, and two are within two bits
 exactly if they name a value in common. Either way the links are complete.
+
+The pipeline's stage links texts whose sets of five-word shingles are similar (Jaccard) to 0.8 or
+more. Such pairs are about ten bits apart, too far for blocks, so the candidate search is another:
+MinHash, BANDS bands of BAND_ROWS values, of which a pair at 0.8 shares none with a chance of
+(1 - 0.8 ** 5) ** 32 = 3e-6, a closer pair less. Every candidate is verified on the whole sets. In a
+bucket each set is compared with the smallest and the greatest, and then, where that does not make
+the bucket one component, each with all of the other components, inside the bucket, which hands on
+one edge for each two components that it joins.
 """
 
 from __future__ import annotations
@@ -32,13 +40,17 @@ PIVOTS = np.array([sum(((i & j).bit_count() & 1) << j for j in range(64)) for i
 BUCKET = 256
 BLOCKS = 4
 _CHUNK = 1 << 15
+#: The stage's shingles and least similarity, and its candidate search.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS = 32, 5
+#: Sets of a bucket that are compared in one place; larger buckets are compared part by part.
+PART = 512
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * BAND_ROWS), dtype=np.uint64)
+_TIMES, _PLUS, _MIX = _DRAWN[0] | np.uint64(1), _DRAWN[1], _DRAWN[2].reshape(BANDS, BAND_ROWS) | np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits; a bit is 1 if set in over half the hashes of the shingles, repeats included. No word: 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def _spans(words: list[bytes], shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The words joined, and where each shingle starts and ends in them."""
     joined = b" ".join(words)
     if len(words) <= shingle:
         starts, ends = [0], [len(joined)]
@@ -46,6 +58,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         stops = np.cumsum([len(w) + 1 for w in words])
         starts = [0, *stops[:-shingle].tolist()]
         ends = (stops[shingle - 1 :] - 1).tolist()
+    return joined, starts, ends
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64 bits; a bit is 1 if set in over half the hashes of the shingles, repeats included. No word: 0."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0
+    joined, starts, ends = _spans(words, shingle)
     digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(starts), _CHUNK):
         part = zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])
@@ -146,6 +167,123 @@ def links(scratch: Scratch, distinct: DataFrame, bucket: int = BUCKET) -> DataFr
     return edges
 
 
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending; a text of fewer words is one shingle. No word: none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, starts, ends = _spans(words, shingle)
+    digest = xxhash.xxh64_intdigest
+    return np.array(sorted({digest(joined[a:b], seed) for a, b in zip(starts, ends)}), np.uint64)
+
+
+def band_keys(members: np.ndarray) -> np.ndarray:
+    """One key a band; two sets have a band's key in common if its BAND_ROWS smallest values are the same."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(members), 4096):
+        np.minimum(least, (members[at : at + 4096, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    return (least.reshape(BANDS, BAND_ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, mark, fp, n, bands): fp is a hash of the whole set of shingles, n its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            bands = pa.array([band_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "n", "bands"])
+
+    slim = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(run, f"doc_id {kind}, mark long, fp long, n int, bands array<long>")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(fp, members): the sets of the texts that `wanted` (fp, _id, _mark) names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column("text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), sets], ["fp", "members"])
+
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    return texts.select("fp", "text").mapInArrow(run, "fp long, members array<long>").dropDuplicates(["fp"])
+
+
+def bucket_edges(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Positions of similar sets, one pair for each two components that they join."""
+    n = np.array([len(x) for x in sets])
+    starts = np.cumsum(n) - n
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    root, found = root.copy(), []
+    for i in range(len(sets)):
+        others = np.flatnonzero((root != root[i]) & (np.minimum(n, n[i]) / np.maximum(n, n[i]) >= similarity))
+        others = others[others > i]
+        if not len(others):
+            continue
+        mine = np.zeros(len(names), np.int32)
+        mine[flat[starts[i] : starts[i] + n[i]]] = 1
+        if 8 * len(others) < len(sets):
+            both = np.array([mine[flat[starts[j] : starts[j] + n[j]]].sum() for j in others])
+        else:
+            both = np.add.reduceat(mine[flat], starts)[others]
+        for j in others[both / (n[i] + n[others] - both) >= similarity]:
+            if root[j] != root[i]:
+                found.append((i, int(j)))
+                root[root == root[j]] = root[i]
+    return found
+
+
+def similar_links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of `distinct.fp` that are similar and share a band."""
+    rows = distinct.select("fp", "n", F.explode("bands").alias("key"))
+    ends = rows.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("low"), F.max(F.struct("fp", "n")).alias("high")).where("low.fp <> high.fp")
+    shared = scratch.write(rows.join(ends, "key"), "shared")
+    wanted = distinct.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    sets = scratch.write(sets_of(docs, scratch.write(wanted, "wanted"), shingle), "sets")
+    # Sets that differ more in size cannot be similar.
+    star = shared.select("fp", "n", F.explode(F.array("low", "high")).alias("end")).where(F.col("fp") != F.col("end.fp"))
+    star = star.where(F.least("n", "end.n") / F.greatest("n", "end.n") >= similarity)
+    star = scratch.write(star.select(F.least("fp", "end.fp").alias("a"), F.greatest("fp", "end.fp").alias("b")).distinct(), "star")
+    left, right = (sets.select(F.col("fp").alias(c), F.col("members").alias(f"of_{c}")) for c in ("a", "b"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    checked = star.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("n"))
+    edges = scratch.write(checked.where(F.col("both") / (F.col("n") - F.col("both")) >= similarity).select("a", "b"), "similar")
+    labels = connected_components(scratch, edges).withColumnRenamed("node", "fp")
+    rooted = scratch.write(shared.select("key", "fp").join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).where("least <> most")
+    members = rooted.join(open_keys.select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "key").join(sets, "fp")
+    # Each part of a bucket meets each other part, and itself.
+    members = members.withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
+    buckets = members.groupBy("key", F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"))
+    buckets = buckets.agg(F.collect_list(F.struct("fp", "root", "members")).alias("bucket"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket in batch.column("bucket"):
+                of = bucket.values
+                fp, root = (of.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "root"))
+                got = np.array(bucket_edges([x.values.to_numpy() for x in of.field("members")], root, similarity), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[got[:, 0]]), pa.array(fp[got[:, 1]])], ["a", "b"])
+
+    return edges.unionByName(scratch.write(buckets.select("bucket").mapInArrow(run, "a long, b long"), "rest"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """As near_groups, linking texts whose sets of shingles are similar; fp is a hash of the set.
+
+    Texts without a word have the same empty set.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    prints = scratch.write(sketches(docs, shingle), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")).alias("first")
+    distinct = scratch.write(prints.groupBy("fp").agg(first, F.min("n").alias("n"), F.min("bands").alias("bands")), "distinct")
+    return _components(scratch, prints, distinct, similar_links(scratch, docs, distinct, shingle, similarity))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, mark, fp, component_id, kept): one row per input row.
 
@@ -158,7 +296,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = scratch.write(fingerprints(docs, id_col, text_col, shingle), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")).alias("first")
     distinct = scratch.write(prints.groupBy("fp").agg(first), "distinct")
-    labels = connected_components(scratch, links(scratch, distinct, bucket))
+    return _components(scratch, prints, distinct, links(scratch, distinct, bucket))
+
+
+def _components(scratch: Scratch, prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, mark, fp, component_id, kept) of the rows whose fingerprints the edges link."""
+    labels = connected_components(scratch, edges)
     rooted = scratch.write(distinct.join(labels.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first"), "rooted")
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     linked = scratch.write(rooted.join(best, "root").select("fp", "best"), "linked")
@@ -174,9 +317,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id."""
+    """One document of each group of similar texts stays, that of the smallest id."""
     columns = docs.columns
-    groups = near_groups(docs).groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    groups = similar_groups(docs).groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     groups = Scratch(spark, "simhash").write(groups, "groups")
     gone = groups.where("not kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_gone"))
     marked = docs.withColumn("_mark", F.xxhash64("text"))
