@@ -316,6 +316,16 @@ def test_lines_of_markup():
     assert html_extract.lines_of("<article><p>cut off") == [("cut off", html_extract.MAIN)]
 
 
+def test_marked_paragraphs_end():
+    main = lambda body: [t for t, _ in html_extract.lines_of(f"<article>{body}</article>")]
+    assert main('<p class="share">Share</p><p>text</p>') == ["text"]
+    assert main('<p class="share">Share<p>text') == ["text"]
+    assert main('<p class="ad">Buy <span class="x">now</p><h2>head</h2>text') == ["head", "text"]
+    assert main('<p class="notice">a<div>text</div>more') == ["text", "more"]
+    assert main('<p class="lead">one</p><p id="n2">two</p><p hidden>no</p><p>three</p>') == ["one", "two", "three"]
+    assert main('<div class="ad"><p class="x">buy</p><p>more</p></div><p>text</p>') == ["text"]
+
+
 def lcs_length(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -30,6 +30,9 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+#: Starts of these do not end an open paragraph, and none is looked for beyond SCOPE_TAGS.
+IN_PARAGRAPH = frozenset("body caption html legend optgroup option select tbody td tfoot th thead tr".split())
+SCOPE_TAGS = frozenset("button caption html object table td template th".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN_TAGS = frozenset(("article", "main"))
 SKIP_TAGS = frozenset("nav header footer aside form menu dialog button select textarea head noscript template svg iframe object canvas audio video".split())
@@ -85,7 +88,16 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             flush()
         elif name == "br":
             block.append(" ")
-        if name in VOID_TAGS or (name == "p" and not _marked(m[3])):
+        # A paragraph ends at its end tag and where a block begins; only those with attributes are on the stack.
+        if name == "p" or (not closing and name in BLOCK_TAGS and name not in IN_PARAGRAPH):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "p":
+                    del stack[k:]
+                    skipped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    break
+                if stack[k][0] in SCOPE_TAGS:
+                    break
+        if name in VOID_TAGS or (name == "p" and (closing or not m[3].strip())):
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
