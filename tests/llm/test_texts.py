@@ -356,6 +356,18 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert html_extract.extract_text(pages.where("false")).isEmpty()
 
 
+def test_copies_do_not_delete_each_other(spark):
+    template = "<body><div>Site name</div><div>{}</div><div>All rights reserved</div></body>"
+    rows = [(i, f"http://a.com/p/5?session={i}", template.format("same story")) for i in range(12)]
+    rows += [(20, "http://a.com/p/1", template.format("first story")), (21, "http://a.com/p/9", template.format("last story")), (22, "http://a.com/q", template.format("last story"))]
+    rows += [(30 + i, f"http://alone.com/{i}", template.format("same story")) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
+    assert len(got) == len(rows) and all(got[i] == "same story" for i in range(12))
+    assert got[20] == "first story" and got[21] == got[22] == "last story"
+    assert got[30] == got[31] == "Site name\n\nsame story\n\nAll rights reserved"
+
+
 # The pipeline ------------------------------------------------------------------------------------
 
 

@@ -203,7 +203,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(page_id, url, text): one row per page.
 
     Null and empty html give an empty text; pages without an address have an empty host and are
-    neighbours of each other. Repeated rows are pages of their own. Unclosed, misnested and
+    neighbours of each other. Repeated rows have a row each. Pages of one host with the same lines are
+    copies: they are differenced as one page, at its smallest path, so they never delete each other's text. Unclosed, misnested and
     cut-off markup is read to its end. Other columns are ignored; empty tables give empty results.
     """
     scratch = Scratch(pages.sparkSession, "html")
@@ -216,8 +217,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     settled = parsed.where(F.size("open") == 0).select("page_id", "url", text.alias("text"))
     if open_pages.isEmpty():
         return settled
-    gone = scratch.write(neighbours(scratch, open_pages).mapInArrow(_compare, "row long, gone array<int>"), "gone").withColumnRenamed("row", "_row")
-    left = open_pages.join(gone, F.col("row") == F.col("_row"), "left")
+    copies = F.xxhash64("host", "hashes")
+    one = open_pages.groupBy(copies.alias("row"), "host").agg(F.min(F.struct("path", "page_id")).alias("at"), F.first("hashes").alias("hashes"))
+    one = scratch.write(one.select("row", "at.page_id", "host", "at.path", "hashes"), "one")
+    gone = scratch.write(neighbours(scratch, one).mapInArrow(_compare, "row long, gone array<int>"), "gone").withColumnRenamed("row", "_row")
+    left = open_pages.join(gone, copies == F.col("_row"), "left")
     kept = F.filter("lines", lambda line, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
     return settled.unionByName(left.select("page_id", "url", F.array_join(kept, "\n\n").alias("text")))
 
