@@ -180,6 +180,18 @@ def test_url_rules_and_aliases(spark):
     assert got[27][3] == "allow" and url_filter.judge_urls(df.where("false")).isEmpty()
 
 
+def test_url_aliases_by_every_edge_of_a_page(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    pages = [
+        page(1, "http://m.io/a", canonical.format("http://m.io/a") + refresh.format("http://x.org/es/1")),
+        page(2, "http://m.io/b", canonical.format("/b") + canonical.format("http://x.org/es/2")),
+        page(3, "http://m.io/c/d", canonical.format("../../a")), page(4, "http://m.io/c/e", refresh.format("./.././a?x")), page(5, "http://m.io/c/f", canonical.format("..")),
+        page(6, "http://m.io/", refresh.format("//x.org/de/../es/3")), page(7, "http://m.io/g", canonical.format("/g")), page(8, "http://x.org/es/1"),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(pages, PAGES)).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 4, 5, 6, 8), "block"), 7: "allow"}
+
+
 def test_packing_round_trip(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

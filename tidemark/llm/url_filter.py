@@ -41,19 +41,31 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
     return name, verdict
 
 
-def target_of(html: Column, host: Column, path: Column) -> Column:
-    """Host and path that a page names as its canonical address or sends its readers to; null if none."""
-    link = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)", 1)
-    to = F.when(link != "", link).when(refresh != "", refresh)
-    bare = F.regexp_replace(to, r"(?s)[?#].*$", "")
+def without_dots(path: Column) -> Column:
+    """A path with its dot segments resolved: . is left out, .. leaves out the segment before it."""
+    step = lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.array_append(done, part))
+    # A last . or .. names a folder.
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    resolved = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), resolved).otherwise(path)
+
+
+def targets_of(html: Column, host: Column, path: Column) -> Column:
+    """Hosts and paths that a page names as its canonical address or sends its readers to: an array of all of them."""
+    link = F.regexp_extract_all(html, F.lit(r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"), 1)
+    refresh = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*([^\"'\s>]+)"), 1)
     base = F.regexp_replace(path, r"[^/]*$", "")
-    return (
-        F.when(to.contains("://"), F.concat(host_of(to), path_of(to)))
-        .when(to.startswith("//"), F.concat(host_of(F.concat(F.lit("x:"), to)), path_of(F.concat(F.lit("x:"), to))))
-        .when(to.startswith("/"), F.concat(host, bare))
-        .when(bare != "", F.concat(host, F.when(base == "", F.lit("/")).otherwise(base), bare))
-    )
+
+    def address(to: Column) -> Column:
+        bare = F.regexp_replace(to, r"(?s)[?#].*$", "")
+        full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("x:"), to))
+        return (
+            F.when(full.isNotNull(), F.concat(host_of(full), without_dots(path_of(full))))
+            .when(to.startswith("/"), F.concat(host, without_dots(bare)))
+            .when(bare != "", F.concat(host, without_dots(F.concat(F.when(base == "", F.lit("/")).otherwise(base), bare))))
+        )
+
+    return F.transform(F.array_distinct(F.concat(link, refresh)), address)
 
 
 def judge_urls(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -66,16 +78,16 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id",
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     table = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
-    table = table.select("page_id", "host", "path", target_of(F.col("html"), F.col("host"), F.col("path")).alias("target"))
+    table = table.select("page_id", "host", "path", targets_of(F.col("html"), F.col("host"), F.col("path")).alias("targets"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     table = scratch.write(table.select("*", rule.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("node")), "judged")
-    edges = table.where("target is not null and node <> '' and target <> '' and target <> node").select(F.col("node").alias("a"), F.col("target").alias("b"))
+    edges = table.where("node <> ''").select("node", F.explode("targets").alias("target")).where("target is not null and target <> '' and target <> node").select(F.col("node").alias("a"), F.col("target").alias("b"))
     labels = connected_components(scratch, edges)
     at, under = F.regexp_extract("node", r"(?s)^([^/]*)", 1), F.regexp_extract("node", r"(?s)^[^/]*(.*)$", 1)
     own = rule_for(at, under, rules)[1]
     votes = labels.groupBy("root").agg(F.max(own == "allow").alias("allowed"), F.max(own == "block").alias("blocked"))
     blocked = scratch.write(labels.join(votes.where("blocked and not coalesce(allowed, false)"), "root", "left_semi").select("node"), "blocked")
-    out = table.join(blocked.withColumn("alias", F.lit("block")), "node", "left")
+    out = table.drop("targets").join(blocked.withColumn("alias", F.lit("block")), "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))
 
 
