@@ -225,15 +225,84 @@ def test_encoder_equals_the_tokenizer(text):
     assert encoder.encode(text) == encoder.ids(text) and encoder.encode(text) == encoder.ids(text)
 
 
-@pytest.mark.parametrize("n, seed", [(0, 0), (1, 1), (700, 2), (30_000, 3)])
-def test_packing_program_is_exact_and_close_to_the_bound(n, seed):
-    rng = np.random.default_rng(seed)
-    sizes = np.clip(rng.gamma(2.0, 150, n).astype(int) + 1, 1, 1023)
-    counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True))))
-    packed, got = packing.pack_lengths(counts), Counter()
+def best_fit(counts, capacity):
+    room, n = [], 0
+    for size in sorted(counts, reverse=True):
+        for _ in range(counts[size]):
+            free = [r for r in room if r >= size]
+            if free:
+                room.remove(min(free))
+            n += not free
+            room.append((min(free) if free else capacity) - size)
+    return n
+
+
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying all."""
+    best = len(sizes)
+
+    def put(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(sizes):
+            best = len(room)
+            return
+        for j in range(len(room)):
+            if room[j] >= sizes[k] and room[j] not in room[:j]:
+                put(k + 1, [r - sizes[k] * (i == j) for i, r in enumerate(room)])
+        put(k + 1, [*room, capacity - sizes[k]])
+
+    sizes = sorted(sizes, reverse=True)
+    put(0, [])
+    return best
+
+
+def check_packing(counts, capacity=1024):
+    packed, bound = packing.pack_lengths(counts, capacity)
+    got = Counter()
     for times, chosen in packed:
-        assert sum(chosen) <= 1024
+        assert sum(chosen) <= capacity
         for size in chosen:
             got[size] += times
     assert got == Counter(counts)
-    assert sum(t for t, _ in packed) <= -(-int(sizes.sum()) // 1024) * 1.01 + 1
+    sequences = sum(t for t, _ in packed)
+    assert bound <= sequences + 1e-6
+    return sequences, bound
+
+
+@pytest.mark.parametrize("n, seed", [(0, 0), (1, 1), (700, 2), (5_000, 3)])
+def test_packing_program_is_exact_and_close_to_the_bound(n, seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.clip(rng.gamma(2.0, 150, n).astype(int) + 1, 1, 1023)
+    counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True))))
+    sequences, bound = check_packing(counts)
+    assert sequences <= best_fit(counts, 1024) and sequences <= bound + 2
+
+
+def test_packing_program_at_size():
+    rng = np.random.default_rng(5)
+    sizes = np.clip(rng.gamma(2.0, 150, 30_000).astype(int) + 1, 1, 1023)
+    counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True))))
+    for size in (900, 700, 350):  # copies
+        counts[size] = counts.get(size, 0) + 4_000_000
+    sequences, bound = check_packing(counts)
+    assert sequences <= bound * 1.0001 + 2
+    assert check_packing({600: 10**9, 424: 10**9})[0] == 10**9
+    assert check_packing({1: 1_000_000})[0] == 977
+    assert check_packing({513: 10})[0] == 10
+
+
+def test_packing_program_against_all_packings():
+    rng = np.random.default_rng(6)
+    for _ in range(25):
+        sizes = rng.integers(1, 20, rng.integers(1, 9)).tolist()
+        assert check_packing(Counter(sizes), 20)[0] <= fewest(sizes, 20) + (len(sizes) > 6)
+
+
+def test_knapsack_against_all_multisets():
+    rng = np.random.default_rng(7)
+    lengths, value = np.array([2, 3, 7]), rng.random(3)
+    best = packing.knapsack(value, lengths, 15)
+    for c in range(16):
+        assert best[c] == pytest.approx(max(a * value[0] + b * value[1] + d * value[2] for a in range(8) for b in range(6) for d in range(3) if 2 * a + 3 * b + 7 * d <= c))

@@ -5,9 +5,8 @@ that fits a sequence. The program, cover each length's count with as few configu
 solved over the histogram of lengths (at most `capacity` numbers, whatever the corpus) by
 multiplicative weights: a length's weight falls as it is covered, and knapsack dynamic programming
 over the weights prices the best configuration for every length in turn. Amounts are rounded to
-whole sequences; lengths that rounding leaves over go through the program again, and the last few,
-fewer than a fixed number, are packed best fit. Pieces find their places by rank within their
-length: ranks are taken in short runs, so a common length is no bottleneck.
+whole sequences, those of the longest pieces first, and the rest is solved again. Pieces find their
+places by rank within their length: ranks are taken in short runs, so a common length is no bottleneck.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from __future__ import annotations
 import sys
 import types
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +27,12 @@ from .mixing import _ranked
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Prices each length gets in one solution, and solutions of what rounding leaves.
-ROUNDS, SOLUTIONS = 8, 12
-#: Pieces left over that are packed one by one.
-LAST = 1024
+#: Rounds of pricing in the first solution and in later ones, and steps of the weights a round.
+FIRST, LATER, STEPS = 6, 1, 60
+#: Share of the sequences that is rounded before the rest is solved again, and the least amount rounded to one.
+SHARE, LEAST = 0.15, 0.5
+#: What a token that a configuration leaves free costs in a step.
+WASTE = 0.02
 _CACHE = 500_000
 _RUN = 1024
 
@@ -148,113 +148,162 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, p
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """best[c]: most value of lengths that add to c at most; last[c]: one length of it, 0 for none. Lengths may repeat."""
-    lengths = np.flatnonzero(value > 0)
-    worth = value[lengths]
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """best[c]: most value of lengths that add to c at most. Lengths may repeat; value[k] is that of lengths[k], ascending."""
+    best, below = np.zeros(capacity + 1), np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], -1
-        k = np.searchsorted(lengths, c, side="right")
-        if k:
-            with_ = best[c - lengths[:k]] + worth[:k]
-            m = int(with_.argmax())
-            if with_[m] > best[c] + 1e-12:
-                best[c], last[c] = with_[m], lengths[m]
-    return best, last
-
-
-def configuration(last: np.ndarray, room: int) -> list[int]:
-    out = []
-    while room > 0:
-        if last[room] == -1:
-            room -= 1
-        elif last[room] == 0:
-            break
-        else:
-            out.append(int(last[room]))
-            room -= int(last[room])
+        best[c] = best[c - 1]
+        if below[c]:
+            best[c] = max(best[c], (best[c - lengths[: below[c]]] + value[: below[c]]).max())
+    return best
+
+
+def priced(value: np.ndarray, best: np.ndarray, lengths: np.ndarray, counts: np.ndarray, lack: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
+    """For every length in turn, a configuration of most value that holds it; of equal ones, that of the lengths which lack cover most."""
+    below = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    ties: list[np.ndarray | None] = [None] * (capacity + 1)
+    lack, out = lack.copy(), []
+    for i in range(len(lengths) - 1, -1, -1):
+        room, chosen = capacity - int(lengths[i]), [int(lengths[i])]
+        while room > 0:
+            if ties[room] is None:
+                k = below[room]
+                ties[room] = np.flatnonzero(value[:k] + best[room - lengths[:k]] >= best[room] - 1e-9)
+            if len(ties[room]):
+                j = int(ties[room][lack[ties[room]].argmax()])
+                lack[j] -= counts[i] / counts[j]
+                chosen.append(int(lengths[j]))
+                room -= int(lengths[j])
+            else:
+                room -= 1
+        out.append(tuple(sorted(chosen, reverse=True)))
     return out
 
 
-def solve(left: np.ndarray, capacity: int, rounds: int, eta: float = 4.0) -> dict[tuple[int, ...], float]:
-    """Configurations and amounts: multiplicative weights over the counts that are left, by length."""
-    lengths = np.arange(capacity + 1, dtype=float)
-    have = left > 0
-    n = np.where(have, left, 1).astype(float)
-    covered = np.zeros(capacity + 1)
-    amounts: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        value = np.where(have & (covered < 1), lengths * np.exp(-eta * covered), 0.0)
-        _, last = knapsack(value, capacity)
-        for size in np.flatnonzero(have & (covered < 1))[::-1].tolist():
-            if covered[size] >= 1:
-                continue
-            chosen = tuple(sorted([size, *configuration(last, capacity - size)], reverse=True))
-            times: dict[int, int] = {}
-            for x in chosen:
-                times[x] = times.get(x, 0) + 1
-            amount = min(n[size] / rounds / times[size], *(n[x] * max(0.0, 1 - covered[x]) / k for x, k in times.items()))
-            if amount <= 0:
-                continue
-            amounts[chosen] = amounts.get(chosen, 0.0) + amount
-            for x, k in times.items():
-                covered[x] += amount * k / n[x]
-    return amounts
-
-
-def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, solutions: int = SOLUTIONS) -> list[tuple[int, tuple[int, ...]]]:
-    """(times, lengths) of the sequences that hold all pieces shorter than capacity, by length: exact, none left, none twice."""
+class Program:
+    """Cover each length's count with as few configurations as can be: amounts of a growing set of configurations.
+
+    A length's weight is multiplied, step by step, by its count over its cover, so it falls as the length
+    is covered; a configuration's amount is the product of its lengths' weights. Weights also price new
+    configurations by the knapsack. bound: no cover has fewer sequences (the best dual value met).
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.bound = capacity, 0.0
+        self.columns, self.amounts, self.known = np.zeros((0, 1), np.int64), np.zeros(0), set()
+
+    def add(self, found: list[tuple[int, ...]], amount: float) -> None:
+        fresh = [c for c in dict.fromkeys(found) if c not in self.known]
+        if fresh:
+            width = max(self.columns.shape[1], max(map(len, fresh)))
+            table = np.zeros((len(self.columns) + len(fresh), width), np.int64)
+            table[: len(self.columns), : self.columns.shape[1]] = self.columns
+            for k, c in enumerate(fresh, len(self.columns)):
+                table[k, : len(c)] = c
+            self.columns, self.amounts = table, np.concatenate([self.amounts, np.full(len(fresh), amount)])
+            self.known.update(fresh)
+
+    def cover(self) -> np.ndarray:
+        return np.bincount(self.columns.ravel(), np.repeat(self.amounts, self.columns.shape[1]), self.capacity + 1)
+
+    def solve(self, left: np.ndarray, rounds: int, steps: int) -> None:
+        lengths = np.flatnonzero(left)
+        counts = left[lengths].astype(float)
+        alive = ((left[self.columns] > 0) | (self.columns == 0)).all(axis=1) & (self.amounts > 1e-4)
+        if not alive.all():
+            self.columns, self.amounts = self.columns[alive], self.amounts[alive]
+            self.known = {tuple(c[c > 0].tolist()) for c in self.columns}
+        for _ in range(rounds):
+            cover = self.cover()[lengths] if len(self.columns) else np.zeros(len(lengths))
+            weight = np.clip(np.log(counts / np.maximum(cover, 1e-9)), -2, 2)
+            value = lengths / self.capacity * np.exp(0.01 * weight)
+            best = knapsack(value, lengths, self.capacity)
+            self.bound = max(self.bound, float((counts * value).sum() / best[-1]))
+            self.add(priced(value, best, lengths, counts, 1 - np.minimum(cover / counts, 2), self.capacity), counts.sum() / (10 * len(lengths)))
+            size, waste = (self.columns > 0).sum(axis=1), self.capacity - self.columns.sum(axis=1)
+            weight = np.zeros(self.capacity + 1)
+            for _ in range(steps):
+                weight[lengths] = np.log(counts / np.maximum(self.cover()[lengths], 1e-9))
+                self.amounts *= np.exp(np.clip(weight[self.columns].sum(axis=1) / size, -3, 3) - WASTE * waste)
+
+
+def filled(left: np.ndarray, size: int, capacity: int) -> tuple[int, ...]:
+    """Of pieces that are left, one of `size` with the longest that fit, one by one; those that fill the sequence best
+    (subset sums, as bits) if they hold over capacity / 64 tokens more, as short pieces are of use later."""
+    room, lengths = capacity - size, [int(x) for x in np.flatnonzero(left[: capacity - size + 1])]
+    have = {x: int(left[x]) - (x == size) for x in lengths}
+    long_, free = [size], room
+    for x in reversed(lengths):
+        k = min(have[x], free // x)
+        long_ += [x] * k
+        free -= k * x
+    sums, below, reach = [], (1 << room + 1) - 1, 1
+    for x in lengths:
+        sums.append(reach)
+        for _ in range(min(have[x], room // x)):
+            more = reach | reach << x & below
+            if more == reach:
+                break
+            reach = more
+    at, chosen = reach.bit_length() - 1, [size]
+    if at <= room - free + capacity // 64:
+        return tuple(long_)
+    for x, reach in zip(reversed(lengths), reversed(sums)):
+        k = next(k for k in range(min(have[x], at // x), -1, -1) if reach >> at - k * x & 1)
+        chosen += [x] * k
+        at -= k * x
+    return tuple(chosen)
+
+
+def fewest(left: np.ndarray, capacity: int) -> float:
+    """No packing has fewer sequences: prices by length, by how many of a length fit, and of the longer half alone."""
+    lengths = np.flatnonzero(left)
+    prices = [lengths / capacity, 1.0 / (capacity // np.maximum(lengths, 1)), (lengths > capacity // 2).astype(float)]
+    return max((float((left[lengths] * v).sum() / max(knapsack(v, lengths, capacity)[-1], 1e-12)) for v in prices if v.any()), default=0.0)
+
+
+def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, tuple[int, ...]]], float]:
+    """((times, lengths) of the sequences that hold all pieces shorter than capacity, the program's bound): none left, none twice.
+
+    The program is solved, its amounts of the configurations of the longest lengths are rounded to whole
+    sequences, and what is left is solved again, until nothing is. What rounding leaves of a length is
+    put, piece by piece, with the pieces that fill its sequence best. The driver's work grows with the
+    number of lengths, not of pieces.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         left[size] = n
     packed: list[tuple[int, tuple[int, ...]]] = []
+    program = Program(capacity)
 
-    def place(chosen: tuple[int, ...], most: int) -> None:
+    def place(chosen: tuple[int, ...], most: int) -> int:
         sizes, times = np.unique(chosen, return_counts=True)
         k = int(min(most, (left[sizes] // times).min()))
         if k > 0:
             left[sizes] -= k * times
             packed.append((k, chosen))
-
-    for number in range(solutions):
-        if left.sum() <= LAST:
-            break
-        amounts = solve(left, capacity, rounds)
-        full = sorted(amounts.items(), key=lambda x: (-sum(x[0]), -x[1], x[0]))
-        before = left.sum()
-        slack = 0 if number < solutions // 2 else capacity // 128
-        for chosen, amount in full:
-            if sum(chosen) >= capacity - slack:
-                place(chosen, max(1, int(amount)))
-        if left.sum() == before:
-            for chosen, amount in full:  # no full sequence can be had any more
-                place(chosen, max(1, int(amount)))
-    # Best fit of the rest, longest first: copies of one length that find no room open sequences together.
-    room: list[tuple[int, int]] = []
-    bins: list[list[int]] = []
-    for size in range(capacity, 0, -1):
-        n = int(left[size])
-        while n:
-            k = bisect_left(room, (size, -1))
-            if k < len(room):
-                free, which = room.pop(k)
-                bins[which].append(size)
-                insort(room, (free - size, which))
-                n -= 1
-            elif n > 8 * LAST:
-                per = capacity // size
-                many = n // per
-                packed.append((many, (size,) * per))
-                n -= many * per
-            else:
-                bins.append([size])
-                insort(room, (capacity - size, len(bins) - 1))
-                n -= 1
-    same: dict[tuple[int, ...], int] = {}
-    for b in bins:
-        same[tuple(b)] = same.get(tuple(b), 0) + 1
-    return packed + [(k, b) for b, k in same.items()]
+        return max(k, 0)
+
+    bound = fewest(left, capacity)
+    while left.any():
+        program.solve(left, LATER if packed else FIRST, STEPS)
+        bound = bound if packed else max(bound, program.bound)
+        goal, done = max(1.0, SHARE * program.amounts.sum()), 0
+        order = np.lexsort((-program.amounts, -program.columns[:, 0]))
+        longest, k = program.columns[order, 0], 0
+        for size in np.flatnonzero(left)[::-1].tolist():
+            if done >= goal:
+                break
+            while k < len(order) and longest[k] >= size:
+                at = order[k]
+                k += 1
+                if longest[k - 1] == size and left[size] and program.amounts[at] >= LEAST:
+                    got = place(tuple(program.columns[at][program.columns[at] > 0].tolist()), max(1, int(program.amounts[at] + 0.5)))
+                    program.amounts[at] = max(program.amounts[at] - got, 0.01)
+                    done += got
+            while left[size]:
+                done += place(filled(left, size, capacity), int(left[size]))
+    return packed, bound
 
 
 def places(packed: list[tuple[int, tuple[int, ...]]]) -> tuple[dict[int, tuple[np.ndarray, ...]], int]:
@@ -284,9 +333,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
     pieces = scratch.write(pieces_of(docs, capacity, end_id, path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     short = pieces.where(F.col("length") < capacity)
     counts = {r.length: r.n for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    table, sequences = places(pack_lengths(counts, capacity))
-    runs = max(1, sum(counts.values()) // _RUN)
-    ranked = _ranked(short, ["length"], F.pmod(F.xxhash64("row"), F.lit(runs)), ["row"], F.lit(1), "rank")
+    table, sequences = places(pack_lengths(counts, capacity)[0])
+    runs = F.element_at(F.lit([1 + counts.get(size, 0) // _RUN for size in range(1, capacity + 1)]), F.col("length").cast("int"))  # by each length's count
+    ranked = _ranked(short, ["length"], F.pmod(F.xxhash64("row"), runs), ["row"], F.lit(1), "rank")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,8 +359,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack over all documents, with its defaults: null and empty texts are the end id alone, repeated rows are packed each for itself."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of op9_packing for the documents that are left; see pack for nulls, empty and very long texts, repeats and empty tables."""
     return pack(docs)
