@@ -256,9 +256,9 @@ def filled(left: np.ndarray, size: int, capacity: int) -> tuple[int, ...]:
 
 
 def fewest(left: np.ndarray, capacity: int) -> float:
-    """No packing has fewer sequences: prices by length, by how many of a length fit, and of the longer half alone."""
+    """No packing has fewer sequences: prices by length, by how many of a length fit, and so of the longer ones alone."""
     lengths = np.flatnonzero(left)
-    prices = [lengths / capacity, 1.0 / (capacity // np.maximum(lengths, 1)), (lengths > capacity // 2).astype(float)]
+    prices = [lengths / capacity, *(np.where(lengths * (k + 1) > capacity, 1.0 / (capacity // lengths), 0.0) for k in (1, 2, 4))]
     return max((float((left[lengths] * v).sum() / max(knapsack(v, lengths, capacity)[-1], 1e-12)) for v in prices if v.any()), default=0.0)
 
 
