@@ -284,7 +284,7 @@ def test_packing_program_at_size():
     rng = np.random.default_rng(5)
     sizes = np.clip(rng.gamma(2.0, 150, 30_000).astype(int) + 1, 1, 1023)
     counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True))))
-    for size in (900, 700, 350):  # copies
+    for size in (900, 124, 700, 324, 350, 674):  # copies
         counts[size] = counts.get(size, 0) + 4_000_000
     sequences, bound = check_packing(counts)
     assert sequences <= bound * 1.0001 + 2
