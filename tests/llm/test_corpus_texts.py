@@ -226,17 +226,118 @@ def test_ppm_segments_of_long_texts(monkeypatch):
 
 
 def test_grammar_weighs_context():
-    scorer = toxicity.Scorer({"=idiot": 0.8})
+    scorer = toxicity.Scorer(toxicity.Model({"=idiot": 3.0, "=narr": 3.0, "=tonto": 3.0, "=sot": 3.0}))
     plain, negated, quoted, aimed = (scorer.score(t) for t in ("what an idiot here", "he is never idiot here", "someone said idiot here", "you idiot"))
     assert negated < plain < aimed and quoted < plain
+    for word, negation, report, target in (("narr", "nicht", "sagte", "du"), ("tonto", "nunca", "dijo", "usted"), ("sot", "pas", "selon", "vous")):
+        plain, negated, quoted, aimed = (scorer.score(f"{w} {word}") for w in ("xx", negation, report, target))
+        assert negated < quoted < plain < aimed
     assert scorer.score("i will kill you") > scorer.score("the kill was noted") and scorer.score("an idiot. an idiot") > plain
-    assert scorer.score(None) == scorer.score("") == scorer.score("calm words") == toxicity.NO_MATCH
+    assert scorer.score("idiot idiot") > scorer.score("idiot. idiot")  # one clause, not two words
+    assert scorer.score("so.idiot") == scorer.score("so. idiot") == scorer.score("so|idiot")
+    assert scorer.score(None) == scorer.score("") == scorer.score("calm words") < 0.05
+    long = toxicity.Scorer(toxicity.Model({"=idiot": 3.0}, -4.0, 0.5, 0.001))
+    assert long.score("calm " * 300_000) == pytest.approx(0, abs=1e-9) and long.weigh("idiot " * 200_000)[1] == 200_000
+
+
+def test_without_its_factors_the_grammar_decides_otherwise():
+    model = toxicity.Model({"=idiot": 3.0}, -4.0, 2.0, 0.01)
+    flat = toxicity.compose(*[{k: (n, 1.0) for k, (n, _) in m.items()} for m in toxicity.machines()])
+    full, bare = toxicity.Scorer(model), toxicity.Scorer(model, flat)
+    texts = ["what an idiot", "you idiot", "he is not an idiot", "she said nobody idiot", "i will kill you", "the kill was noted by the idiot said", "er ist nicht idiot", "no es nunca idiot"]
+    decided = [[s.score(t) >= toxicity.THRESHOLD for t in texts] for s in (full, bare)]
+    assert decided[0] == [True, True, False, False, True, True, False, False] and decided[1] != decided[0]
+
+
+def test_composition_equals_machines_side_by_side():
+    parts, arcs, rng = toxicity.machines(), toxicity.grammar(), random.Random(9)
+    for _ in range(300):
+        states, state = [0] * len(parts), 0
+        for _ in range(rng.randint(1, 25)):
+            symbol, want = rng.randrange(toxicity.SYMBOLS), 1.0
+            for k, m in enumerate(parts):
+                states[k], factor = m[states[k], symbol]
+                want *= factor
+            state, got = arcs[state, symbol]
+            assert got == pytest.approx(want)
+
+
+def test_clause_weights_against_plain_rules():
+    """The grammar in plain words: what stands before an insult decides its factor."""
+    rng, scorer = random.Random(10), toxicity.Scorer(toxicity.Model({"=idiot": 2.0}))
+    scorer.matched({"idiot", "kill"})
+    for _ in range(300):
+        words = [rng.choice(["idiot", "kill", "will", "you", "not", "said", "house", "tree"]) for _ in range(rng.randint(1, 9))]
+        want = 0.0
+        for k, w in enumerate(words):
+            if w in ("idiot", "kill"):
+                before, f = words[:k], 1.0
+                f *= 0.5 if "not" in words[max(0, k - 2) : k] else 1.0
+                f *= 0.6 if "said" in before else 1.0
+                f *= 1.2 if "you" in before else 1.0
+                f *= 1.15 if w == "idiot" and "idiot" in words[max(0, k - 3) : k] else 1.0
+                f *= (1.25 if "will" in before or "you" in before else 0.4) if w == "kill" else 1.0
+                want += 2.0 * f
+        assert scorer.clause(words) == pytest.approx(want)
+
+
+def lexicon_reference(rows):
+    """Plain counts: documents and occurrences by label, then distinct places."""
+    texts = {}
+    for t, y in rows:
+        k = " ".join((t or "").split())
+        texts[k] = max(texts.get(k, 0), y)
+    docs, occ, places, words = defaultdict(Counter), defaultdict(Counter), defaultdict(dict), Counter()
+    for t, y in texts.items():
+        tokens, met = [w for part in toxicity.CLAUSE.split(t.lower()) for w in part.split()], set()
+        words[y] += sum(bool(w.strip(toxicity.TRIM)) or 1 for w in tokens)
+        for k, w in enumerate(tokens):
+            bare = w.strip(toxicity.TRIM)
+            for key in ["=" + bare, *["^" + bare[:n] for n in (4, 5, 6) if len(bare) > n]] if bare else []:
+                occ[key][y] += 1
+                if key not in met:
+                    met.add(key)
+                    docs[key][y] += 1
+                    at = (*tokens[max(0, k - 2) : k], "_", *tokens[k + 1 : k + 3])
+                    places[key][at] = max(places[key].get(at, 0), y)
+    n, toxic = len(texts), sum(texts.values())
+    tried = sum(c[1] >= 3 for c in docs.values())
+
+    def sure(a, b):
+        p, q = a / b, toxic / n
+        return a >= 3 and p >= 1 / 3 and p > q and b * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)) >= math.log(tried / 0.01)
+
+    out = {}
+    for key, c in docs.items():
+        if sure(c[1], c[0] + c[1]) and sure(sum(places[key].values()), len(places[key])):
+            s = math.log((occ[key][1] + 0.5) / (words[1] + 1)) - math.log((occ[key][0] + 0.5) / (words[0] + 1))
+            if s >= 1:
+                out[key] = min(s, 6.0)
+    return out
 
 
-def test_composition_is_a_deterministic_machine():
-    arcs = toxicity.grammar()
-    states = {s for s, _ in arcs}
-    assert len(arcs) == 7 * len(states) and {n for n, _ in arcs.values()} <= states and (0, toxicity.OTHER) in arcs
+def test_lexicon_equals_plain_counts_however_rows_lie(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(500):
+        words = prose(rng, 40).split()
+        if i % 5 == 0:
+            for _ in range(3):
+                words.insert(rng.randrange(40), rng.choice(["grobian", "vlekka.", "(vlekto)", "moltron!"]))
+        rows.append((" ".join(words), int(i % 5 == 0)))
+    copied = prose(rng, 60).split()
+    copied[30] = "copyword"
+    for _ in range(60):  # near copies of one toxic text: its words are no evidence
+        copy = list(copied)
+        copy[rng.randrange(20)] = prose(rng, 1)
+        rows.append((" ".join(copy), 1))
+    rows += [rows[0], (rows[5][0] + "  ", 0), (None, 0), ("", 1)]
+    sample = spark.createDataFrame(rows, "text string, label int")
+    got = toxicity.fit_sample(sample.repartition(3))
+    want = lexicon_reference(rows)
+    assert got.lexicon == pytest.approx(want)
+    assert "=grobian" in want and "=copyword" not in want
+    assert toxicity.fit_sample(sample.repartition(7, "text")) == got
 
 
 @pytest.fixture(scope="module")
@@ -265,13 +366,15 @@ def outcome(rows, truth, limit):
 
 def test_toxicity_on_held_out_rows(labelled):
     docs, labels = labelled
-    lexicon = toxicity.fit(docs, labels)
-    assert "=grobian" in lexicon and "^vlek" in lexicon and all(k in ("=grobian", "=moltron") or k[1:5] == "vlek" for k in lexicon)
+    model = toxicity.fit(docs, labels)
+    assert "=grobian" in model.lexicon and "^vlek" in model.lexicon and all(k[1:5] in ("grob", "molt", "vlek") for k in model.lexicon)
     truth = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
-    rows = toxicity.score_toxicity(docs, lexicon).collect()
+    rows = toxicity.score_toxicity(docs, model).collect()
     assert len(rows) == docs.count() and outcome(rows, truth, toxicity.THRESHOLD) > 0.98
-    assert toxicity.fit(docs, labels.where("false")) == {} and toxicity.fit(docs, labels.where("toxic = 0")) == {}
-    assert toxicity.score_toxicity(docs.where("false"), lexicon).isEmpty()
+    assert toxicity.fit(docs, labels.where("false")).lexicon == {} and toxicity.fit(docs, labels.where("toxic = 0")).lexicon == {}
+    assert toxicity.score_toxicity(docs.where("false"), model).isEmpty()
+    named = [t.withColumn("doc_id", t["doc_id"].cast("string")) for t in (docs, labels)]  # ids of another type
+    assert toxicity.fit(*named).lexicon.keys() <= model.lexicon.keys() | {"^grob", "^grobi", "^grobia"} and toxicity.score_toxicity(named[0], model).schema["doc_id"].dataType.simpleString() == "string"
 
 
 def test_classifier_on_held_out_rows(labelled):
