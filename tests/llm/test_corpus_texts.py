@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -413,20 +414,68 @@ def test_lines_of_markup():
     <div class="ad">buy</div><div id='cookie-notice'>cookies</div><article class="post"><header><h1>Head &amp; more</h1></header><p>one <b>two<br>three<p>four&nbsp;&lt;x&gt; <i>f</i>ive
     <aside>side</aside><form><p>mail</p></form><section class="comments"><p>first!</p></section><ul><li>item</li></ul></article><footer>&copy; us</footer></body></html>"""
     assert [t for t, kind in html_extract.lines_of(page) if kind == html_extract.MAIN] == ["Head & more", "one two three", "four <x> five", "item"]
-    assert [t for t, kind in html_extract.lines_of(page) if kind == html_extract.OPEN] == []
+    assert [t for t, kind in html_extract.lines_of(page) if kind != html_extract.MAIN] == ["mail"]
+    assert kept(page) == ["Head & more", "one two three", "four <x> five", "item"]
     for odd in (None, "", "<", "<p", "text only", "<article><p>cut off", "</div></p>", "<p title='a>b'>x</p>", "<script>never ends", "<!-- never ends"):
         html_extract.lines_of(odd)
     assert html_extract.lines_of("<article><p>cut off") == [("cut off", html_extract.MAIN)]
 
 
 def test_marked_paragraphs_end():
-    main = lambda body: [t for t, _ in html_extract.lines_of(f"<article>{body}</article>")]
+    main = lambda body: kept(f"<article>{body}</article>")
     assert main('<p class="share">Share</p><p>text</p>') == ["text"]
     assert main('<p class="share">Share<p>text') == ["text"]
     assert main('<p class="ad">Buy <span class="x">now</p><h2>head</h2>text') == ["head", "text"]
     assert main('<p class="notice">a<div>text</div>more') == ["text", "more"]
     assert main('<p class="lead">one</p><p id="n2">two</p><p hidden>no</p><p>three</p>') == ["one", "two", "three"]
     assert main('<div class="ad"><p class="x">buy</p><p>more</p></div><p>text</p>') == ["text"]
+    assert main('<p class="notice">Ad<p>Real') == ["Real"]
+    assert main('<ul><li class="ad">Ad<li>Real</ul>') == ["Real"]
+    assert main('<ul><li class="ad">Ad<ul><li>inner ad</ul>still ad<li>Real<ul><li class="ad">no<li>yes</ul></ul>after') == ["Real", "yes", "after"]
+    assert main('<dl><dt class="promo">Ad<dd>Real</dl><table><tr class="ad"><td>Ad<tr><td class="ad">Ad<td>Real<tr><td>More</table>end') == ["Real", "Real", "More", "end"]
+
+
+def kept(page):
+    return [t for t, _ in html_extract.decide(html_extract.lines_of(page))]
+
+
+def test_no_page_is_lost_to_the_name_of_its_body():
+    for body in ('body class="sidebar-mini navbar-fixed"', 'body class="menu-open"', 'body id="search" role="dialog"'):
+        assert kept(f"<html class='ad cookie-consent'><{body}><p>text</p><nav>no</nav></body></html>") == ["text"]
+    assert kept('<main class="header-offset"><p>text</p></main>') == kept('<article class="social" id="share-1"><p>text</p></article>') == ["text"]
+    assert kept('<article><p>text</p><div class="social-history"><p>The social history</p></div><div class="social-links">like</div></article>') == ["text", "The social history"]
+
+
+def test_forms_teasers_and_inner_articles():
+    long = "The long text of this page. " * 9
+    assert kept(f"<body><form id='aspnetForm'><nav>menu</nav><p>{long}</p></form></body>") == [long.strip()]
+    assert kept(f"<article><p>{long}</p><form><p>your mail</p></form></article>") == [long.strip()]
+    assert kept(f"<form><article><p>{long}</p></article><label>name</label></form>") == [long.strip()]
+    assert kept(f'<div class="content">{long}</div><article>teaser</article>') == [long.strip(), "teaser"]
+    assert kept(f"<div>top</div><article>{long}</article>") == [long.strip()]
+    assert kept(f"<article>{long}<article>first!</article><article class='comment'>second</article></article>") == [long.strip()]
+    assert kept(f"<article class='page'>by me<article class='post'>{long}</article></article>") == ["by me", long.strip()]
+    assert kept("<article><p>one <span class='ad'>buy</p><p>two</p></article>") == ["one", "two"]
+
+
+def test_odd_markup_keeps_the_text_after_it():
+    assert kept('<article><p>a < b and <3</p><a href="x>one</a><p>two</p></article>') != []
+    assert kept("<article><p don't>one</p><p title='a>b'>isn't</p></article>") == ["one", "isn't"]
+    assert kept("<article><p>one<p <b>two") and kept("<article>one<a hre") == ["one"]
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a b='", "<", "</", "<script", "<!--", "<p x", "</script ", '<div class="x">', "<p class=x><table>", "&amp", "<li class=x>", "a<b ", "<article>x", "</p>", '<p class="ad"><div><p>'])
+def test_hostile_pages_take_time_in_proportion(part):
+    began = time.perf_counter()
+    html_extract.decide(html_extract.lines_of("<article>" + part * (1_000_000 // len(part))))
+    assert time.perf_counter() - began < 4
+
+
+def test_differencing_of_hostile_pages():
+    began = time.perf_counter()
+    for ours, theirs in ((["a"] * 30_000, ["a"] * 20_000), (["a", "b"] * 10_000, ["b", "b", "a"] * 7_000), (list(range(20_000)), list(range(20_000, 0, -1)))):
+        html_extract.shared(ours, theirs)
+    assert time.perf_counter() - began < 12
 
 
 def lcs_length(a, b):
@@ -459,6 +508,13 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert html_extract.extract_text(pages.where("false")).isEmpty()
 
 
+def test_differencing_decides_names_that_may_be_anything(spark):
+    article = "<article><p>{}</p><div class='social-feed-x'>follow us</div><div class='social-study-{}'>{}</div></article>"
+    rows = [(i, f"http://a.com/{i}", article.format(f"The story of {i}", i, f"Its own study {i}")) for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"The story of {i}\n\nIts own study {i}" for i in range(4)}
+
+
 def test_copies_do_not_delete_each_other(spark):
     template = "<body><div>Site name</div><div>{}</div><div>All rights reserved</div></body>"
     rows = [(i, f"http://a.com/p/5?session={i}", template.format("same story")) for i in range(12)]
