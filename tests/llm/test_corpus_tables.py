@@ -95,6 +95,19 @@ def test_mix_stage_keeps_columns(spark, docs):
     assert max(r["count"] for r in out.groupBy("doc_id", "text").count().collect()) <= 6  # two equal rows, thrice each
 
 
+def test_mix_documents_have_their_places(spark):
+    rows = [(i, " ".join(["w"] * (20 + i % 30)), "ab"[i % 5 == 0]) for i in range(300)] + [(900, "", "a"), (901, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, segments = mixing.mix_sources(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("doc_id", "source", "text").alias("mark"))))
+    got = mixing.mix_documents(docs).collect()
+    times = {r.doc_id.doc_id: 1 if not r.size else int(r.taken / r.size + 0.5) for r in taken.collect()}
+    assert Counter(r.doc_id for r in got) == Counter({k: n for k, n in times.items() if n})
+    slots = defaultdict(set)
+    for s in segments.collect():
+        slots[s.doc_id.doc_id].add(s.position)
+    assert all(r.position in slots[r.doc_id] if r.text else r.position is None for r in got)
+
+
 def exact_reference(rows):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
     groups = defaultdict(list)

@@ -1,6 +1,7 @@
 """Toxicity, language model, classifier, SimHash, extraction and the pipeline, against brute force."""
 
 import math
+import os
 import random
 import re
 import time
@@ -63,6 +64,35 @@ def test_simhash_components(spark, bucket):
     assert len({find(i) for i in range(len(texts))}) < len(set(prints))  # some links join different texts
 
 
+def test_crowded_cells_are_split_and_lose_no_link(spark):
+    """Thousands of fingerprints around a few: cells far over the bound, against every pair."""
+    rng = np.random.default_rng(13)
+    values = []
+    for base, n, flips, where in ((7, 1_500, 5, np.arange(64)), (0, 700, 4, np.arange(20, 36)), (1 << 63, 500, 3, np.arange(40, 64))):
+        for _ in range(n):
+            values.append(base ^ sum(1 << int(b) for b in rng.choice(where, rng.integers(0, flips + 1), replace=False)))
+    values = np.unique(np.array(values, np.uint64))
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 2
+    root = np.arange(len(values))
+    while True:
+        low = np.where(near, root[None, :], len(values)).min(axis=1)
+        if (low == root).all():
+            break
+        root = low
+    scratch = common.Scratch(spark, "t")
+    distinct = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    got = common.connected_components(scratch, simhash.links(scratch, distinct, 64)).collect()
+    at = {int(v): k for k, v in enumerate(values.view(np.int64))}
+    parts = defaultdict(set)
+    for r in got:
+        parts[r.root].add(at[r.node])
+    want = defaultdict(set)
+    for k, r in enumerate(root):
+        want[r].add(k)
+    assert sorted(map(sorted, parts.values())) == sorted(sorted(w) for w in want.values() if len(w) > 1)
+    assert len(set(simhash.finer(0))) == 6 and all(m.bit_count() == 56 for a in simhash.finer(0) for b in simhash.finer(a) for m in simhash.finer(b))
+
+
 def test_simhash_edges(spark):
     rows = [(None, "a b c d"), (7, "a b c d"), (7, "other words stand here now"), (7, "other words stand here now"), (None, "lonely text without an id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -529,6 +559,32 @@ def test_copies_do_not_delete_each_other(spark):
 
 # The pipeline ------------------------------------------------------------------------------------
 
+CLASH = "doc_id string, text string, source string, _id string, _mark string, _sha string, _gone string, _copy string, _times string, _taken string, mark string, n string, kept string, position string, hash string"
+
+
+def test_stages_keep_columns_of_any_name_and_ids_of_any_type(spark, tmp_path):
+    rows = [(i, t, s, *"abcdefghijkl") for i, t, s in (("x", "one two three", "s"), ("y", "one  two three", "s"), (None, "four five six", None), ("z", None, "s"), ("z", "", "t"), ("z", None, "s"), ("w", " ".join(f"w{k}" for k in range(40_000)), "t"))]
+    docs = spark.createDataFrame(rows, CLASH)
+    spark.createDataFrame([("x", 1, 0)], "doc_id string, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for frame in (docs, docs.where("false")):
+            out = stage(spark, frame, str(tmp_path))
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns and all(tuple(r)[3:] == tuple("abcdefghijkl") for r in got)
+            assert bool(got) == (frame is docs)
+        if name in ("exact_dedup", "simhash_near_dedup"):
+            assert {r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()} == {"x", None, "z", "w"} and stage(spark, docs, str(tmp_path)).count() == 4
+
+
+def test_scratch_tables_go(spark):
+    scratch = common.Scratch(spark, "t")
+    one, two = scratch.write(spark.range(3), "a"), scratch.write(spark.range(4), "b")
+    scratch.keep(two)
+    assert not os.path.exists(one._scratch_path.removeprefix("file:")) and two.count() == 4
+    assert common.fresh(spark.createDataFrame([], "_id long, __ID long"), "_id", "x") == ["___id", "x"]
+
+
 
 def test_pipeline_stages(spark, labelled, tmp_path):
     docs, labels = labelled

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,14 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's spark.checkpoint.dir names it.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made and set.
+    Where that setting is absent a temporary folder is made and set if all runs in one process (local[n]);
+    on a cluster it is an error.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -30,11 +34,19 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage, survive lost executors and have known sizes.
 
     Because a reread table's size is known, Catalyst broadcasts it only below the session's
-    threshold, and joins of two such tables are plain exchanges whose skew AQE can split.
+    threshold, and joins of two such tables are plain exchanges whose skew AQE can split. What no
+    returned frame reads is deleted by keep, the rest when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.paths: set[str] = set()
+        self._path(self.root)[1].deleteOnExit(self._path(self.root)[0])
+
+    def _path(self, path: str) -> tuple:
+        context = self.spark.sparkContext
+        named = context._jvm.org.apache.hadoop.fs.Path(path)
+        return named, named.getFileSystem(context._jsc.hadoopConfiguration())
 
     def write(self, frame: DataFrame, name: str = "t", keep_order: bool = False) -> DataFrame:
         self.count += 1
@@ -42,15 +54,45 @@ class Scratch:
         frame.write.parquet(path)
         table = self.spark.read.schema(frame.schema).parquet(path)
         table._scratch_path = path
+        self.paths.add(path)
         return table
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no returned frame reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+        for path in [t._scratch_path for t in tables]:
+            named, files = self._path(path)
+            files.delete(named, True)
+            self.paths.discard(path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these."""
+        for path in self.paths - {t._scratch_path for t in tables}:
+            named, files = self._path(path)
+            files.delete(named, True)
+        self.paths = {t._scratch_path for t in tables}
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """These names, with as many underscores before them as the frame's columns leave free."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_rows(docs: DataFrame, ident: Column, gone: DataFrame, repeated: bool) -> DataFrame:
+    """docs without the rows of `gone`, a table of (doc_id, ident); one of those that share both, if repeated. Columns as they are."""
+    columns = docs.columns
+    id_, mark, gone_id, gone_mark = fresh(docs, "_id", "_mark", "_gone_id", "_gone_mark")
+    marked = docs.withColumns({id_: F.col("doc_id"), mark: ident})
+    gone = gone.toDF(gone_id, gone_mark)
+    left = marked.join(gone, F.col(id_).eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_mark)), "left_anti")
+    if repeated:
+        left = left.dropDuplicates([id_, mark])
+    return left.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def words_native(text: Column) -> Column:

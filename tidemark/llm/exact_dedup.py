@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch
+from .common import SPACE, Scratch, without_rows
 
 #: Members of a group that are compared with one copy of its representative.
 SLICE = 64
@@ -69,7 +69,9 @@ def exact_groups(
         version += 1
         moved = moved.withColumn("version", F.when(F.col("_apart"), version).otherwise(F.col("version")))
         rows = scratch.write(moved.select("doc_id", "hash", "text_sha256", "row", "version"), "rows")
-    out = rows.join(groups if version == 0 else _all_groups(scratch, rows, order), ["hash", "version"], "left")
+    groups = groups if version == 0 else _all_groups(scratch, rows, order)
+    scratch.keep(rows, groups)
+    out = rows.join(groups, ["hash", "version"], "left")
     alone = F.col("group_size").isNull()
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -82,21 +84,20 @@ def _all_groups(scratch: Scratch, rows: DataFrame, order: Column) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_groups of all documents, nulls, empties and repeats as there."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that stay, one for each distinct text."""
-    columns = docs.columns
+    """Documents that stay, one for each distinct text, that of the smallest id; all columns kept, whatever their names.
+
+    Null and empty texts are one text. Null ids come last. Of rows that share id and text one stays. An empty table stays empty.
+    """
     groups = Scratch(spark, "exact").write(exact_groups(docs), "groups")
     dropped = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     repeated = not dropped.where("kept and n > 1").isEmpty()
-    gone = dropped.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    left = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone")), "left_anti")
-    if repeated:  # rows that share id and text
-        left = left.dropDuplicates(["doc_id", "_sha"])
-    return left.select(*columns)
+    gone = dropped.where("not kept").select("doc_id", "text_sha256")
+    return without_rows(docs, F.sha2(normalised(F.col("text")), 256), gone, repeated)
 
 
 ORACLE_SQL = r"""

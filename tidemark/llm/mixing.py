@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, words_native
+from .common import Scratch, fresh, words_native
 
 #: The contract's weights by position of the source in code point order.
 WEIGHTS = (5, 2, 1)
@@ -64,15 +64,18 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int
     return table.select("source", "source_size", target.alias("target"), F.floor(target + 0.5).cast("long").alias("take"))
 
 
-def _ranked(frame: DataFrame, groups: list, run: Column, order: list, value: Column, out: str, scratch: Scratch | None = None) -> DataFrame:
+def _ranked(frame: DataFrame, groups: list, run: Column, order: list, value: Column, out: str) -> DataFrame:
     """Adds `out`, the sum of value over the rows before this one in its group, without a window over a group.
 
-    run: numbers the runs of a group, in the rows' order.
+    run: numbers the runs of a group, in the rows' order. Runs are summed in runs of RUN themselves.
     """
-    frame = frame.withColumn("_run", run).withColumn("_value", value)
-    runs = frame.groupBy(*groups, "_run").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*groups).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(*groups, "_run", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    frame = frame.withColumn("_run", run.cast("long")).withColumn("_value", value)
+    runs = frame.groupBy(*groups, "_run").agg(F.sum("_value").alias("_sum")).withColumn("_far", F.floor(F.col("_run") / RUN))
+    back = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    far = runs.groupBy(*groups, "_far").agg(F.sum("_sum").alias("_all"))
+    far = far.select(*groups, "_far", F.coalesce(F.sum("_all").over(back(*groups, by="_far")), F.lit(0)).alias("_before"))
+    near = runs.select(*groups, "_run", "_far", F.coalesce(F.sum("_sum").over(back(*groups, "_far", by="_run")), F.lit(0)).alias("_near"))
+    runs = near.join(far, [near[c].eqNullSafe(far[c]) for c in (*groups, "_far")]).select(*[near[c] for c in groups], near["_run"], (near["_near"] + far["_before"]).alias("_base"))
     inner = Window.partitionBy(*groups, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     frame = frame.withColumn("_inner", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
     match = [frame[c].eqNullSafe(runs[c]) for c in (*groups, "_run")]
@@ -120,10 +123,11 @@ def mix_sources(
     sizes = scratch.write(document_sizes(docs, id_col, text_col, source_col, seed), "sizes")
     targets = scratch.write(source_targets(sizes, weights, max_repeats), "targets")
     # Runs of the shuffled order: as many per source as give about RUN documents if all were of one source.
-    digits = 1
-    while 16**digits * RUN < sizes.count() and digits < 8:
+    digits, rows = 1, sizes.count()
+    while 16**digits * RUN < rows and digits < 8:
         digits += 1
-    placed = _ranked(sizes, ["source"], F.substring("shuffled", 1, digits), ["shuffled", "doc_id", "row"], F.col("size"), "place")
+    run = F.conv(F.substring("shuffled", 1, digits), 16, 10)
+    placed = _ranked(sizes, ["source"], run, ["shuffled", "doc_id", "row"], F.col("size"), "place")
     slim = targets.withColumnRenamed("source", "_source")
     placed = placed.join(slim, placed["source"].eqNullSafe(slim["_source"])).drop("_source")
     placed = scratch.write(placed.select("doc_id", "row", "size", "source", "source_size", "target", "take", "place"), "placed")
@@ -138,6 +142,7 @@ def mix_sources(
     slots = schedule(spark, targets, block_tokens).withColumnsRenamed({"source": "_source", "rank": "_rank"})
     segments = blocks.join(slots, blocks["source"].eqNullSafe(slots["_source"]) & (blocks["rank"] == slots["_rank"])).drop("_source", "_rank")
     segments = scratch.write(segments, "segments")
+    scratch.keep(placed, segments)
     columns = ["doc_id", "row", "size", "source", "source_size", "target"]
     none = segments.select("doc_id", "row", *[F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in columns[2:]], "words")
     summed = placed.select(*columns, F.lit(0).cast("long").alias("words")).unionByName(none).groupBy("row").agg(
@@ -146,26 +151,42 @@ def mix_sources(
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, nulls, empties and repeats as in mix_sources."""
     documents, _ = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in whole documents: each row as often as the mix takes its words, to the nearest whole number.
+def mix_documents(docs: DataFrame, position: str = "position") -> DataFrame:
+    """docs, each row as often as the mix takes its words, to the nearest whole number, with its place in the mix's order.
 
-    Rows without a word are of no source's words; they stay once. Rows that share id, source and text
-    share what the mix takes of them.
+    position: that of the slot in which the copy's passage begins (of the last one, if the mix takes fewer);
+    null for rows without a word, which are of no source's words and stay once. Null ids and sources are
+    like others, rows that share id, source and text share what the mix takes of them, an empty table stays
+    empty; columns are kept whatever their names, except that one of the name of `position` is replaced.
     """
-    columns = docs.columns
-    mark = F.xxhash64("doc_id", "source", "text")
-    taken, _ = mix_sources(docs.withColumn("doc_id", F.struct("doc_id", mark.alias("mark"))))
-    taken = taken.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    columns = [c for c in docs.columns if c != position]
+    mark, copy, id_, taken_mark, starts = fresh(docs, "_mark", "_copy", "_id", "_taken", "_starts")
+    ident = F.xxhash64("doc_id", "source", "text")
+    taken, segments = mix_sources(docs.select(F.struct("doc_id", ident.alias("mark")).alias("doc_id"), "source", "text"))
+    passage = segments.join(taken.select(F.col("row").alias("_row"), "source_size"), F.col("row") == F.col("_row"))
+    first = passage.groupBy("doc_id", "row", F.expr("start div source_size").alias("passage")).agg(F.min_by("position", "start").alias("position"))
+    first = first.groupBy("doc_id").agg(F.sort_array(F.collect_list("position")).alias("starts"))  # MAX_REPEATS a row
+    taken = taken.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.count("*").alias("n")).join(first, "doc_id", "left")
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    taken = taken.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.mark").alias("_taken"), times.alias("_times")).where("_times > 0")
-    taken = Scratch(spark, "mix").write(taken, "times")
-    marked = docs.withColumn("_mark", mark)
-    copied = marked.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_taken")))
-    return copied.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    # Rows that share their id, source and text share its passages.
+    places = F.expr("transform(sequence(0, greatest(times, 1) - 1), k -> element_at(starts, least(k * cast(n as int), size(starts) - 1) + 1))")
+    taken = taken.withColumn("times", times).where("times > 0")
+    taken = taken.select(F.col("doc_id.doc_id").alias(id_), F.col("doc_id.mark").alias(taken_mark), F.when(F.size("starts") > 0, places).otherwise(F.array(F.lit(None).cast("long"))).alias(starts))
+    taken = Scratch(docs.sparkSession, "mix").write(taken, "times")
+    marked = docs.withColumn(mark, ident)
+    copied = marked.join(taken, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(taken_mark)))
+    return copied.withColumn(copy, F.explode(starts)).select(*[F.col(f"`{c}`") for c in columns], F.col(copy).alias(position))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """mix_documents without the position: the packing that follows deals documents out by their lengths."""
+    (position,) = fresh(docs, "_position")
+    return mix_documents(docs, position).drop(position)
 
 
 ORACLE_SQL = r"""

@@ -351,6 +351,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
+    scratch.keep(pieces)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     placed = ranked.select(*columns, "rank").mapInArrow(put, schema)

@@ -143,6 +143,7 @@ def classify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classify for all documents, by trees of the labels outside the fold; null and empty texts score as zeros, repeats alike."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     trees = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = classify(docs, trees)

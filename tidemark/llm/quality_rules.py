@@ -128,6 +128,7 @@ def apply_rules(docs: DataFrame, thresholds: tuple = THRESHOLDS, id_col: str = "
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """apply_rules to all documents; null and empty texts fail, repeated rows are judged alike."""
     return apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -1,13 +1,13 @@
 """Near-duplicates by SimHash: fingerprints at Hamming distance 2 or less are linked.
 
-Pivot distance tables. Distinct fingerprints meet where two of their four 16-bit blocks agree: at
-most two bits differ, so two blocks at least are untouched, and no linked pair is missed. Inside such
-a bucket the distances of each fingerprint to the pivots are tabled; a pair whose distances to any
-pivot differ by more than 2 is discarded (the triangle inequality), and survivors are verified bit
-by bit. A bucket hands on a spanning star for each of its connected parts, so what it makes is no
-more than its members. A bucket of more than BUCKET fingerprints is not compared pair by pair:
-there, each fingerprint names itself and its 64 neighbours at one bit, and two are within two bits
-exactly if they name a value in common. Either way the links are complete.
+Pivot distance tables. Distinct fingerprints meet in cells where two of their four 16-bit blocks agree:
+at most two bits differ, so two blocks at least are untouched, and no linked pair is missed. In a cell
+the distances of each fingerprint to the pivots are tabled and sorted; a pair whose distances to any
+pivot differ by more than 2 is discarded (the triangle inequality), and survivors are verified bit by
+bit. A crowded cell is split the same way by its 32 free bits, and again by the 16 then free, after
+which no cell has more than 256 fingerprints: every pair is found by the same tables, and no list grows
+with the input. A cell hands on a spanning star for each of its connected parts, so what it makes is
+no more than its members.
 
 The pipeline's stage links texts whose sets of five-word shingles are similar (Jaccard) to 0.8 or
 more. Such pairs are about ten bits apart, too far for blocks, so the candidate search is another:
@@ -29,16 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, without_rows
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 #: Reference fingerprints: rows of the 64 x 64 Hadamard matrix, far from each other, so distances to them are little correlated.
 PIVOTS = np.array([sum(((i & j).bit_count() & 1) << j for j in range(64)) for i in range(0, 64, 2)], np.uint64)
-#: Distinct fingerprints in a bucket that are compared pair by pair.
+#: Distinct fingerprints of a cell that are compared by their table; the cells of more are split.
 BUCKET = 256
-BLOCKS = 4
+#: Blocks of a split, and splits: after the last, 8 bits are free, so a cell has 256 fingerprints at most.
+BLOCKS, LEVELS = 4, 3
 _CHUNK = 1 << 15
 #: The stage's shingles and least similarity, and its candidate search.
 STAGE_SHINGLE, SIMILARITY = 5, 0.8
@@ -91,7 +92,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def close_pairs(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs within the distance: pivot table, maximum coordinate difference, verification."""
+    """Positions of pairs within the distance: pivot table, maximum coordinate difference, verification. Equal values are pairs, too."""
     table = np.bitwise_count(values[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     order = np.argsort(table[:, 0], kind="stable")
     first, left, right = table[order, 0], [], []
@@ -132,38 +133,41 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
-def _names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each fingerprint under its own value and those one bit away."""
-    masks = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
-    for batch in batches:
-        values = batch["fp"].to_numpy(np.int64)
-        for at in range(0, len(values), 4096):
-            part = values[at : at + 4096]
-            named = (part.view(np.uint64)[:, None] ^ masks[None, :]).ravel().view(np.int64)
-            yield pd.DataFrame({"name": named, "fp": np.repeat(part, len(masks))})
+def finer(mask: int) -> list[int]:
+    """The mask with two of the four equal parts of its free bits added, in the six ways."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    parts = [sum(1 << b for b in free[k * len(free) // BLOCKS : (k + 1) * len(free) // BLOCKS]) for k in range(BLOCKS)]
+    return [mask | parts[i] | parts[j] for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def links(scratch: Scratch, distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of `distinct.fp` within two bits."""
-    width = 64 // BLOCKS
-    block = [F.shiftrightunsigned("fp", width * i).bitwiseAND((1 << width) - 1) for i in range(BLOCKS)]
-    pairs = [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
-    keys = F.array(*[F.struct(F.lit(k).alias("which"), (F.shiftleft(block[i], width).bitwiseOR(block[j])).alias("key")) for k, (i, j) in enumerate(pairs)])
-    rows = distinct.select("fp", F.explode(keys).alias("k")).select("k.which", "k.key", "fp")
-    # A limit of bucket + 1 rows a key, applied before the shuffle too, tells the oversized keys without gathering them.
-    rank = F.row_number().over(Window.partitionBy("which", "key").orderBy("fp"))
-    seen = rows.withColumn("rank", rank).where(F.col("rank") <= bucket + 1)
-    lists = seen.groupBy("which", "key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    lists = scratch.write(lists, "buckets")
-    edges = lists.where(F.size("members") <= bucket).select("members").mapInPandas(_stars, "a long, b long")
-    over = scratch.write(lists.where(F.size("members") > bucket).select("which", "key"), "over")
-    if not over.isEmpty():
-        crowded = scratch.write(rows.join(over, ["which", "key"], "left_semi").select("fp").distinct(), "crowded")
-        named = crowded.mapInPandas(_names, "name long, fp long")
-        # Those that name a value form a part; its smallest stands for it (65 rows a value at most).
-        groups = named.groupBy("name").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        groups = groups.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a"))
-        edges = edges.unionByName(groups.where("a <> b").select("a", "b"))
+    """Edges (a, b) whose components are those of all pairs of `distinct.fp` within two bits.
+
+    An empty table has none; fp is distinct and not null.
+    """
+    rows, masks, edges = distinct.select("fp", F.lit(0).cast("long").alias("mask")), [0], None
+    for level in range(LEVELS):
+        ways = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(f)) for f in finer(m)]))])
+        rows = rows.select("fp", F.explode(F.element_at(ways, F.col("mask"))).alias("mask"))
+        rows = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        if level:
+            rows = scratch.write(rows.distinct(), "cells")  # of crowded cells only
+        masks = sorted({f for m in masks for f in finer(m)})
+        last = level == LEVELS - 1
+        # A limit of bucket + 1 rows a key, applied before the shuffle too, tells crowded cells without gathering them.
+        rank = F.row_number().over(Window.partitionBy("mask", "key").orderBy("fp"))
+        seen = rows if last else rows.withColumn("rank", rank).where(F.col("rank") <= bucket + 1)
+        cells = scratch.write(seen.groupBy("mask", "key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1), "buckets")
+        found = cells.where(F.lit(last) | (F.size("members") <= bucket)).select("members").mapInPandas(_stars, "a long, b long")
+        edges = found if edges is None else edges.unionByName(found)
+        crowded = cells.where(F.size("members") > bucket).select("mask", "key")
+        if last or crowded.isEmpty():
+            break
+        rows = rows.join(crowded, ["mask", "key"], "left_semi").select("fp", "mask")
     return edges
 
 
@@ -307,23 +311,24 @@ def _components(scratch: Scratch, prints: DataFrame, distinct: DataFrame, edges:
     linked = scratch.write(rooted.join(best, "root").select("fp", "best"), "linked")
     table = distinct.join(linked, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"))
     table = scratch.write(table.select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.mark").alias("best_mark")), "components")
+    scratch.keep(prints, table)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("best_mark"))
     return prints.join(table, "fp").select("doc_id", "mark", "fp", "component_id", kept.alias("kept"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_groups of all documents, nulls, empties and repeats as there."""
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts stays, that of the smallest id."""
-    columns = docs.columns
+    """One document of each group of similar texts stays, that of the smallest id; all columns kept, whatever their names.
+
+    Null, empty and blank texts are one group. Null ids come last. Of rows that share id and text one stays. An empty table
+    stays empty.
+    """
     groups = similar_groups(docs).groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     groups = Scratch(spark, "simhash").write(groups, "groups")
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_gone"))
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    left = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_gone")), "left_anti")
-    if not groups.where("kept and n > 1").isEmpty():  # rows that share id and text
-        left = left.dropDuplicates(["doc_id", "_mark"])
-    return left.select(*columns)
+    repeated = not groups.where("kept and n > 1").isEmpty()
+    return without_rows(docs, F.xxhash64("text"), groups.where("not kept").select("doc_id", "mark"), repeated)

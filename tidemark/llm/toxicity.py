@@ -231,6 +231,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     # Near copies are one piece of evidence: a word's places count, one a document, and equal places once.
     seen = sample.mapInArrow(places, "key string, place long, label int").groupBy("key", "place").agg(F.max("label").alias("label"))
     seen = seen.groupBy("key").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect()
+    scratch.keep()
     lexicon = {}
     for r in sorted(seen, key=lambda r: r.key):
         if r.toxic >= 3 and r.toxic >= LEAST_SHARE * r.n and _divergence(r.toxic, r.n, rate) >= least:

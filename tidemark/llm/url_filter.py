@@ -107,6 +107,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id",
     own = rule_for(at, under, rules)[1]
     votes = labels.groupBy("root").agg(F.max(own == "allow").alias("allowed"), F.max(own == "block").alias("blocked"))
     blocked = scratch.write(labels.join(votes.where("blocked and not coalesce(allowed, false)"), "root", "left_semi").select("node"), "blocked")
+    scratch.keep(table, blocked)
     out = table.drop("targets").join(blocked.withColumn("alias", F.lit("block")), "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "alias", F.lit("allow")).alias("verdict"))
 
