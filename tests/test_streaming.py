@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,44 @@ def test_exact_late_drop_follows_each_event(spark, tmp_path):
     assert [tuple(r) for r in spark.table("exact").collect()] == [("k", 0, 4)]
 
 
+def test_closed_windows_are_never_opened_again(spark, tmp_path):
+    """However far behind an event is, and over batches: against a loop."""
+    times = [2, 13, 5_000, 4, 5_013, 90_000, 3, 14, 5_001, 47, 90_030]
+    folder = str(tmp_path / "in")
+    for i, t in enumerate(times):
+        spark.createDataFrame([(i, t, "k")], "seq long, t long, k string").coalesce(1).write.mode("append").parquet(folder)
+    most, opened, closed, want = None, {}, set(), []
+    for t in times:
+        s = t // 10 * 10
+        if s in closed:
+            continue
+        opened[s] = opened.get(s, 0) + 1
+        most = t if most is None else max(most, t)
+        for w in sorted(opened):
+            if most - 2 >= w + 10:
+                want.append(("k", w, opened.pop(w)))
+                closed.add(w)
+    stream = streams.replayable(spark, folder, "seq long, t long, k string", 2)
+    streams.run_to_end(streams.exact_late_drop(stream, "t", "seq", 10, 2, "k"), str(tmp_path / "c"), name="closed")
+    assert sorted(tuple(r) for r in spark.table("closed").collect()) == sorted(want)
+
+
+def test_ranges_hold_what_a_set_holds():
+    rng = random.Random(2)
+    for _ in range(50):
+        ranges, held = streams.Ranges([], []), set()
+        for _ in range(40):
+            x = rng.randint(-15, 15)
+            ranges.add(x)
+            held.add(x)
+        assert [x in ranges for x in range(-20, 20)] == [x in held for x in range(-20, 20)]
+        assert all(a + 1 < b for a, b in zip(ranges.highs, ranges.lows[1:]))
+
+
+def test_console(spark, log, tmp_path):
+    sinks.console(streams.replayable(spark, log, SCHEMA), str(tmp_path / "c"))
+
+
 def test_attribution_and_dedup_streams(spark, tmp_path):
     i = write(spark, str(tmp_path / "i"), [(10, "A", "imp-A"), (12, "B", "imp-B"), (500, "Z", "imp-Z"), (600, "Z", "imp-Y")], "t long, ad string, id string")
     c = write(spark, str(tmp_path / "c"), [(25, "A", "clk-A"), (50, "B", "clk-B"), (500, "Y", "clk-Y"), (600, "Y", "clk-X")], "t long, ad string, id string")

@@ -56,7 +56,7 @@ def test_attribution_edges(spark):
     assert out == {"at": "i2", "edge": "i2", "past": None, "other": None}
 
 
-@pytest.mark.parametrize("run", [1, 15, 86_400])
+@pytest.mark.parametrize("run", [1, 15, 8_192])
 def test_as_of_and_current(spark, run):
     prices = spark.createDataFrame([(0, 100), (20, 120), (40, 150)], "valid_from long, price long")
     orders = spark.createDataFrame([(5, "P1", 2, "ord-1"), (25, "P1", 1, "ord-2"), (-3, "P1", 1, "early")], "t long, product string, qty long, id string")

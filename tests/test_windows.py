@@ -77,10 +77,36 @@ def test_drop_behind_counts_the_event_itself(spark):
 
 def test_running_last_skips_nulls_across_runs(spark):
     df = spark.createDataFrame([(0, None), (1, "a"), (2, None), (3, None), (4, "b"), (5, None)], "i long, v string")
-    out = scan.running_last(df, F.col("v"), F.floor(F.col("i") / 2), ["i"], "last")
+    out = scan.running_last(df, F.col("v"), ["i"], "last", rows=2)
     assert [r["last"] for r in out.orderBy("i").collect()] == [None, "a", "a", "a", "b", "b"]
 
 
+def test_runs_are_cut_from_the_data(spark):
+    """Whatever the values are, runs are about equal and far fewer than rows."""
+    for value in (F.col("id") * 1_000_000_000, F.pow(F.lit(1.0005), F.col("id")), F.when(F.col("id") < 9_000, F.col("id") % 3).otherwise(F.col("id"))):
+        df = spark.range(20_000).select(value.alias("at"), "id")
+        got = df.select("at", scan.runs(df, "at", 500).alias("run"))
+        sizes = [r["count"] for r in got.groupBy("run").count().collect()]
+        assert 5 <= len(sizes) <= 40 and max(sizes) <= 3_600
+        ends = sorted((r.lo, r.hi, r.run) for r in got.groupBy("run").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).collect())
+        assert all(a[1] < b[0] and a[2] < b[2] for a, b in zip(ends, ends[1:]))
+
+
+def test_running_scans_equal_loops(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice("aaaab"), rng.choice([None, rng.randint(0, 99)])) for i in range(300)]
+    df = spark.createDataFrame(data, "i long, k string, _v long").repartition(5)
+    count, last, seen = {}, {}, {}
+    for i, k, v in data:
+        seen[k] = seen.get(k, 0) + 1
+        count[i], last_of = seen[k], last.setdefault(k, [])
+        last_of.append((i, v))
+    lag = {i: before for rows in last.values() for (i, _), before in zip(rows, [None, *[v for _, v in rows]])}
+    assert {r.i: r.n for r in scan.running_count(df, "i", "n", ["k"], rows=7).collect()} == count
+    got = scan.lagged(df, F.col("_v"), ["i"], "before", ["k"], rows=7)
+    assert {r.i: r.before for r in got.collect()} == lag and got.columns == ["i", "k", "_v", "before"]
+
+
 def test_rollups(spark):
     df = spark.createDataFrame([(0, "US"), (59, "US"), (60, "IN"), (3599, "US"), (3600, "IN")], "ts long, country string")
     minutes = rollup.minute_counts(df, "ts", ["country"])

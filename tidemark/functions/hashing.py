@@ -24,11 +24,24 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def letters_of(text: Column) -> Column:
+    """Units of a text as numbers: what hashes of several seeds share."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+
+
+def hashes(text: Column, seeds: Column, use) -> Column:
+    """use(seed, hash) for each of an array of seeds; the text is taken apart once."""
+    return _let(letters_of(text), lambda letters: F.transform(seeds, lambda seed: use(seed, hash_letters(letters, seed))))
+
+
 def hash32(text: Column, seed: int | Column = 0) -> Column:
     """Unsigned 32-bit hash as BIGINT; null for null. Characters beyond the basic plane count by their first unit."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return hash_letters(letters_of(text), seed)
+
+
+def hash_letters(letters: Column, seed: int | Column = 0) -> Column:
     start = F.lit(BASIS).cast("long").bitwiseXOR((seed if isinstance(seed, Column) else F.lit(seed)).cast("long"))
-    folded = F.aggregate(letters, start, lambda h, c: _times(h.bitwiseXOR(F.ascii(c).cast("long")), PRIME))
+    folded = F.aggregate(letters, start, lambda h, c: _times(h.bitwiseXOR(c), PRIME))
 
     def finish(h: Column) -> Column:
         def last(a: Column) -> Column:

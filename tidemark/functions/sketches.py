@@ -1,8 +1,8 @@
 """Mergeable sketches as relations: Count-Min, HyperLogLog and Bloom.
 
 A sketch is a small table of fixed size (depth x width cells, 2^p registers, at most m positions),
-whatever the input. Items are counted before they are hashed, so the hash runs once for each distinct
-item of a partition, and partial aggregation keeps shuffles at the sketch's size.
+whatever the input. Rows are hashed where they are and combined by cell, register or position before
+the one shuffle, which is therefore of the sketch's size for each partition, not of the items'.
 """
 
 from __future__ import annotations
@@ -12,20 +12,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import hash32
+from .hashing import hash32, hashes
 
 
 def count_min(df: DataFrame, item: str, depth: int = 5, width: int = 2000, by: list[str] | tuple = (), weight: Column | None = None) -> DataFrame:
     """(*by, row, col, n): cell (row, hash32(item, row) mod width) holds the sum of its items' counts."""
-    items = df.groupBy(*by, F.col(item).alias("item")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
-    cells = _cells(items.select(*by, "n", "item"), "item", depth, width)
+    items = df.select(*by, F.col(item).alias("item"), (F.lit(1).cast("long") if weight is None else weight).alias("n"))
+    cells = _cells(items, "item", depth, width)
     return cells.groupBy(*by, "row", "col").agg(F.sum("n").alias("n"))
 
 
 def _cells(df: DataFrame, item: str, depth: int, width: int) -> DataFrame:
-    """Adds an item's cells, one row each: the hash is one expression with the row as its seed, so generated code stays small."""
-    rows = df.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
-    return rows.withColumn("col", hash32(F.col(item), F.col("row")) % width)
+    """Adds an item's cells, one row each: the row is the seed of its hash."""
+    cells = hashes(F.col(item), F.lit(list(range(depth))), lambda row, h: F.struct(row.alias("row"), (h % width).alias("col")))
+    return df.withColumn("_cell", F.explode(cells)).select("*", "_cell.row", "_cell.col").drop("_cell")
 
 
 def count_min_merge(grids: DataFrame, *more: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
@@ -55,7 +55,7 @@ def grids_equal(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def hll_registers(df: DataFrame, item: str, p: int = 12, by: list[str] | tuple = ()) -> DataFrame:
     """(*by, register, rank): top p bits choose the register, which keeps the most leading zeros of the rest, plus one."""
-    hashed = df.select(*by, F.col(item).alias("item")).distinct().select(*by, hash32(F.col("item")).alias("h"))
+    hashed = df.select(*by, hash32(F.col(item)).alias("h"))
     rest = F.shiftleft("h", p).bitwiseOR(1 << (p - 1)).bitwiseAND(4294967295)
     rank = (F.lit(33) - F.length(F.bin(rest))).cast("int")
     return hashed.groupBy(*by, F.shiftrightunsigned("h", 32 - p).alias("register")).agg(F.max(rank).alias("rank"))
@@ -79,13 +79,13 @@ def hll_estimate(registers: DataFrame, p: int = 12, by: list[str] | tuple = ())
 
 
 def _bloom_positions(item: Column, m: int, k: int) -> Column:
-    pair = F.struct(hash32(item, 1).alias("a"), hash32(item, 2).alias("b"))
-    return F.flatten(F.transform(F.array(pair), lambda h: F.array(*[(h["a"] + F.lit(i) * h["b"]) % m for i in range(k)])))
+    pair = F.array(hashes(item, F.lit([1, 2]), lambda _, h: h))
+    return F.flatten(F.transform(pair, lambda h: F.array(*[(h[0] + F.lit(i) * h[1]) % m for i in range(k)])))
 
 
 def bloom_bits(df: DataFrame, item: str, m: int = 100_000, k: int = 7) -> DataFrame:
     """(position): the set bits. Merging filters is the distinct union."""
-    return df.select(F.col(item).alias("item")).distinct().select(F.explode(_bloom_positions(F.col("item"), m, k)).alias("position")).distinct()
+    return df.select(F.col(item).alias("item")).select(F.explode(_bloom_positions(F.col("item"), m, k)).alias("position")).distinct()
 
 
 def bloom_test(bits: DataFrame, items: DataFrame, item: str, m: int = 100_000, k: int = 7) -> DataFrame:

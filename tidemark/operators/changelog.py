@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import lagged
+
 
 def latest(log: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key. A max over structs, combined before the shuffle: a hot key is no bottleneck."""
@@ -26,7 +28,7 @@ def compact(log: DataFrame, keys: list[str], order: str) -> DataFrame:
 def capture(writes: DataFrame, keys: list[str], op: str, value: str, order: str) -> DataFrame:
     """Adds `before` and `after` to writes (op c, u or d): what a key held, and holds. Ops are not validated."""
     after = F.when(F.col(op) == "d", F.lit(None)).otherwise(F.col(value))
-    return writes.withColumn("after", after).withColumn("before", F.lag("after").over(Window.partitionBy(*keys).orderBy(order)))
+    return lagged(writes.withColumn("after", after), F.col("after"), [order], "before", keys)
 
 
 def replicate(changes: DataFrame, keys: list[str], op: str, order: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Event time with late data, exactly as one event after another would see it.
 
 `arrival` numbers events as they arrive. A running maximum over arrivals tells how far event time had
-come; it is taken in runs of arrivals (see scan), not in one partition.
+come; it is taken in runs of arrivals (see scan), not in one partition. run: arrivals of a run.
 """
 
 from __future__ import annotations
@@ -9,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import running_max
+from .scan import RUN, running_max
 from .windows import truncate
 
-#: Arrivals that are scanned together.
-RUN = 8192
-
 
 def watermark(df: DataFrame, ts: str, arrival: str, lateness: int, run: int = RUN) -> DataFrame:
     """Adds `watermark`, as it stands before each event: the greatest time so far, less the lateness; null at first."""
-    scanned = running_max(df, F.col(ts), F.floor(F.col(arrival) / run), [arrival, ts], "_seen", inclusive=False)
+    scanned = running_max(df, F.col(ts), [arrival, ts], "_seen", inclusive=False, rows=run)
     return scanned.withColumn("watermark", F.col("_seen") - lateness).drop("_seen")
 
 
@@ -36,17 +33,20 @@ def mark_late(df: DataFrame, ts: str, arrival: str, size: int, lateness: int, ru
     return marked.withColumn("late", after_first & closed).drop("_first")
 
 
-def late_drop_windows(df: DataFrame, ts: str, arrival: str, event_id: str, size: int, lateness: int, run: int = RUN) -> DataFrame:
+def late_drop_windows(df: DataFrame, ts: str, arrival: str, event_id: str | None, size: int, lateness: int, run: int = RUN) -> DataFrame:
     """(window_start, window_end, n, ids, closed): accepted events of each window, ids in order of arrival.
 
+    The ids of a window are one value; without event_id they are left out, and windows may be of any size.
+
     closed: whether the watermark passed the window's end before the input ended. Only closed windows
     are emitted by the rule; open ones are returned too, so that callers can tell.
     """
     marked = mark_late(df, ts, arrival, size, lateness, run)
-    taken = marked.where(~F.col("late")).groupBy("window_start").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(arrival).alias("a"), F.col(event_id).alias("id")))).alias("_ids"))
+    found = [] if event_id is None else [F.array_sort(F.collect_list(F.struct(F.col(arrival).alias("a"), F.col(event_id).alias("id")))).alias("_ids")]
+    taken = marked.where(~F.col("late")).groupBy("window_start").agg(F.count("*").alias("n"), *found)
     final = df.agg(F.max(ts) - lateness).scalar()
-    ids = F.transform("_ids", lambda x: x["id"])
-    return taken.select("window_start", (F.col("window_start") + size).alias("window_end"), "n", ids.alias("ids"), (final >= F.col("window_start") + size).alias("closed"))
+    ids = [F.transform("_ids", lambda x: x["id"]).alias("ids")] if found else []
+    return taken.select("window_start", (F.col("window_start") + size).alias("window_end"), "n", *ids, (final >= F.col("window_start") + size).alias("closed"))
 
 
 def late_events(df: DataFrame, ts: str, arrival: str, size: int, lateness: int, run: int = RUN) -> DataFrame:
@@ -56,5 +56,5 @@ def late_events(df: DataFrame, ts: str, arrival: str, size: int, lateness: int,
 
 def drop_behind(df: DataFrame, ts: str, arrival: str, horizon: int, run: int = RUN) -> DataFrame:
     """Events not further behind the greatest time seen, their own included, than the horizon."""
-    scanned = running_max(df, F.col(ts), F.floor(F.col(arrival) / run), [arrival, ts], "_seen")
+    scanned = running_max(df, F.col(ts), [arrival, ts], "_seen", rows=run)
     return scanned.where(F.col(ts) >= F.col("_seen") - horizon).drop("_seen")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import running_last
+from .scan import RUN, running_last
 
 
 def attribute(clicks: DataFrame, impressions: DataFrame, key: str, ts: str, ident: str, within: int) -> DataFrame:
@@ -28,16 +28,16 @@ def attribute(clicks: DataFrame, impressions: DataFrame, key: str, ts: str, iden
     return found.select(F.col("key").alias(key), F.col("ts").alias(ts), F.col("ident").alias(ident), F.when(ok, F.col("i.ts")).alias("impression_ts"), F.when(ok, F.col("i.ident")).alias("impression_id"), F.when(ok, gap).alias("gap"))
 
 
-def as_of(facts: DataFrame, versions: DataFrame, ts: str, valid_from: str, value: str, by: list[str] | tuple = (), first_before: bool = True, run: int = 86_400) -> DataFrame:
+def as_of(facts: DataFrame, versions: DataFrame, ts: str, valid_from: str, value: str, by: list[str] | tuple = (), first_before: bool = True, run: int = RUN) -> DataFrame:
     """Facts with the value of the last version whose valid_from is at most their time.
 
     first_before: facts older than every version take the first version's value, else null. by: keys
-    to match; none means one history for all facts. Scanned in runs of `run` time units.
+    to match; none means one history for all facts. Scanned in runs of about `run` rows.
     """
     rest = [c for c in facts.columns if c not in by]
     v = versions.select(*by, F.col(valid_from).alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col(value).alias("v")).alias("_version"), F.lit(None).cast(facts.select(F.struct(*rest).alias("r")).schema["r"].dataType).alias("_fact"))
     f = facts.select(*by, F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(v.schema["_version"].dataType).alias("_version"), F.struct(*rest).alias("_fact"))
-    joined = running_last(v.unionByName(f), F.col("_version"), F.floor(F.col("_t") / run), ["_t", "_kind"], "_found", by=by).where("_kind = 1")
+    joined = running_last(v.unionByName(f), F.col("_version"), ["_t", "_kind"], "_found", by=by, rows=run).where("_kind = 1")
     out = [*by, *[F.col("_fact")[c].alias(c) for c in rest]]
     if not first_before:
         return joined.select(*out, F.col("_found.v").alias(value))

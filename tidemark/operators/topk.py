@@ -28,22 +28,25 @@ def shard_of(user: str, shards: int, seed: int = 99):
     return hash32(F.col(user).cast("string"), seed) % shards
 
 
-def shard_candidates(grid: DataFrame, counts: DataFrame, by: list[str], item: str, k: int, depth: int = 4, width: int = 1024) -> DataFrame:
-    """(*by, item): each shard's k items of greatest estimate on the shard's grid."""
-    estimates = count_min_estimate(grid, counts, item, depth, width, by)
-    return per_group(estimates, by, item, "estimate", k).select(*by, item)
+def shard_candidates(df: DataFrame, by: list[str], item: str, pool: int, tracked: int) -> DataFrame:
+    """(*by, item): the items that a bounded summary of each shard holds as its most frequent, at most `pool`.
+
+    The summary keeps `tracked` items at most and is merged like the sketch: an item that more than a
+    tracked-th of a shard's rows have is never missed.
+    """
+    kept = df.groupBy(*by).agg(F.expr(f"approx_top_k(`{item}`, {pool}, {tracked})").alias("_top"))
+    return kept.select(*by, F.explode("_top.item").alias(item))
 
 
-def fast_path(df: DataFrame, window: str, shard: str, item: str, k: int, pool: int, depth: int = 4, width: int = 1024) -> tuple[DataFrame, DataFrame]:
+def fast_path(df: DataFrame, window: str, shard: str, item: str, k: int, pool: int = 500, depth: int = 4, width: int = 1024, tracked: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(hourly, daily) top k from sketches: (window, item, estimate, rank) and (item, estimate, rank).
 
-    Shard sketches merge into one a window, windows into one for all; the candidates of the shards,
-    at most `pool` each, are estimated anew on the merged sketch and ranked. Events are read once,
-    into counts that the sketches are made from.
+    Each shard has a sketch and a bounded summary of its most frequent items, both made where the rows
+    are. Shard sketches merge into one a window, windows into one for all; the candidates are estimated
+    anew on the merged sketch and ranked. No item is counted exactly.
     """
-    counts = df.groupBy(window, shard, item).agg(F.count("*").alias("n"))
-    grids = count_min(counts, item, depth, width, [window, shard], F.col("n"))
-    candidates = shard_candidates(grids, counts, [window, shard], item, pool, depth, width)
+    grids = count_min(df, item, depth, width, [window, shard])
+    candidates = shard_candidates(df, [window, shard], item, pool, tracked)
     merged = count_min_merge(grids, by=[window])
     hourly = count_min_estimate(merged, candidates.select(window, item).distinct(), item, depth, width, [window])
     daily = count_min_estimate(count_min_merge(merged), candidates.select(item).distinct(), item, depth, width)

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import lagged
+
+#: Windows of a spine that are made in one place.
+PART = 4096
+
 
 def truncate(ts: Column, grain: int) -> Column:
     """Start of the grain that a time falls in."""
@@ -27,7 +32,7 @@ def sliding(df: DataFrame, ts: str, size: int, slide: int, by: list[str] | tuple
 
     Windows start at anchor + k * slide and none before the anchor. Events are counted by pane (the
     greatest common divisor of size and slide) first, and panes, not events, go to the windows that
-    hold them; the spine of all windows is made from one row of bounds for each key.
+    hold them; the spine of all windows is made in parts, from one row of bounds for each key.
     """
     grain = math.gcd(size, slide)
     panes = df.where(F.col(ts) >= anchor).groupBy(*by, (anchor + F.floor((F.col(ts) - anchor) / grain).cast("long") * grain).alias("_ts")).agg(F.count("*").alias("_n"))
@@ -37,7 +42,9 @@ def sliding(df: DataFrame, ts: str, size: int, slide: int, by: list[str] | tuple
     hits = hits.where((F.col("_ts") >= anchor + F.col("k") * slide) & (F.col("_ts") < anchor + F.col("k") * slide + size))
     counts = hits.groupBy(*by, "k").agg(F.sum("_n").alias("n"))
     spine = df.groupBy(*by).agg(F.max(ts).alias("_last")).where(F.col("_last") >= anchor)
-    spine = spine.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_last") - anchor) / slide).cast("long"))).alias("k"))
+    spine = spine.select(*by, F.floor((F.col("_last") - anchor) / slide).cast("long").alias("_end"))
+    spine = spine.select(*by, "_end", F.explode(F.expr(f"sequence(0L, _end div {PART})")).alias("_part")).repartition(*by, "_part")
+    spine = spine.select(*by, F.explode(F.expr(f"sequence(_part * {PART}, least(_end, (_part + 1) * {PART} - 1))")).alias("k"))
     return spine.join(counts, [*by, "k"], "left").select(*by, (anchor + F.col("k") * slide).alias("window_start"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
@@ -54,4 +61,4 @@ def sessions(df: DataFrame, ts: str, gap: int, by: list[str] | tuple = ()) -> Da
 
 def lag_gap(df: DataFrame, ts: str, by: list[str], order: list[str]) -> DataFrame:
     """Adds `gap`: the time since the key's event before."""
-    return df.withColumn("gap", F.col(ts) - F.lag(ts).over(Window.partitionBy(*by).orderBy(*order)))
+    return lagged(df, F.col(ts), order, "_before", by).withColumn("gap", F.col(ts) - F.col("_before")).drop("_before")

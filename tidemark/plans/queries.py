@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, sketches
-from ..operators import changelog, eventtime, flow, joins, registry, rollup, topk, unified, windows
+from ..functions import formatting, hashing, sketches
+from ..operators import changelog, eventtime, flow, joins, registry, rollup, scan, topk, unified, windows
 from ..sources import generators, tables
-from ..streaming import streams
+from ..streaming import sinks, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,13 @@ def w_session(spark, d):
     return windows.sessions(tables.events(spark, d), "t", 7_200, ["user_id"])
 
 
+@query(f"""WITH {E}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, event_id) <= 600 THEN 0 ELSE 1 END AS first FROM e),
+s AS (SELECT *, sum(first) OVER (ORDER BY t, event_id) AS k FROM g) SELECT min(t) AS session_start, max(t) AS session_end, count(*) AS n FROM s GROUP BY k""")
+def w_session_all(spark, d):
+    """Sessions of all events together; Spark merges them from those of each partition."""
+    return windows.sessions(tables.events(spark, d), "t", 600)
+
+
 LATE = f"""{E}, m AS (SELECT *, t // {SIX_HOURS} * {SIX_HOURS} AS w, max(t) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {TEN_MINUTES} AS wm FROM e),
 l AS (SELECT *, coalesce(wm >= w + {SIX_HOURS}, false) AND row_number() OVER (PARTITION BY w ORDER BY seq) > 1 AS late FROM m)"""
 
@@ -276,11 +283,50 @@ def bloom_errors(spark, d):
     return counted.withColumn("theory", theory)
 
 
-@query()
+@query("SELECT true AS ids_close, true AS users_close, true AS top_exact")
 def builtin_sketches(spark, d):
-    """Spark's own sketches for the same questions: approximate by design, so no SQL gives their bytes."""
+    """Spark's own sketches for the same questions: how close they are, as their values are Spark's."""
     df = tables.table(spark, d, "events")
-    return df.agg(F.hll_sketch_estimate(F.hll_sketch_agg("event_id", F.lit(12))).alias("distinct_ids"), F.approx_count_distinct("user_id", 0.02).alias("distinct_users"), F.expr("approx_top_k(event_type, 3)").alias("top_types"))
+    top = df.groupBy("event_type").agg(F.count("*").alias("n")).agg(F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 3)).scalar()  # one number a type
+    ids, users = df.agg(F.count_distinct("event_id")).scalar(), df.agg(F.count_distinct("user_id")).scalar()
+    found = df.agg(F.hll_sketch_estimate(F.hll_sketch_agg("event_id", F.lit(12))).alias("ids"), F.approx_count_distinct("user_id", 0.02).alias("users"), F.expr("approx_top_k(event_type, 3)").alias("top"))
+    close = lambda name, exact: F.abs(sketches.relative_error(F.col(name), exact)) <= 0.06
+    return found.select(close("ids", ids).alias("ids_close"), close("users", users).alias("users_close"), (F.col("top.count") == top).alias("top_exact"))
+
+
+@query("SELECT true AS never_below, true AS hot_within_1_percent, true AS all_hot_within_2_percent, 40000::BIGINT AS bytes")
+def accuracy_count_min(spark, d):
+    """On 300,000 generated tags; hot: in over 10,000 rows, all hot: in over 5,000, where the mean excess of a cell (150) tells more."""
+    tags = generators.skewed_tags(spark)
+    exact = tags.groupBy("tag").agg(F.count("*").alias("exact"))
+    both = sketches.count_min_estimate(sketches.count_min(tags, "tag"), exact, "tag").join(exact, "tag")
+    worst = lambda rows: F.max(F.when(F.col("exact") >= rows, sketches.relative_error(F.col("estimate"), F.col("exact"))))
+    return both.agg((F.min(F.col("estimate") - F.col("exact")) >= 0).alias("never_below"), (worst(10_000) < 0.01).alias("hot_within_1_percent"), (worst(5_000) < 0.02).alias("all_hot_within_2_percent")).withColumn("bytes", F.lit(sketches.count_min_bytes(5, 2000)).cast("long"))
+
+
+@query("SELECT true AS within_3_percent, 200000::BIGINT AS exact")
+def accuracy_hll(spark, d):
+    """On 1,000,000 events of 200,000 generated users."""
+    users = generators.repeated_users(spark)
+    found = sketches.hll_estimate(sketches.hll_registers(users, "user")).withColumn("exact", users.agg(F.count_distinct("user")).scalar())
+    return found.select((F.abs(sketches.relative_error(F.col("estimate"), F.col("exact"))) <= 0.03).alias("within_3_percent"), "exact")
+
+
+@query("SELECT 0::BIGINT AS false_negatives, true AS within_1_percent, round(pow(1 - exp(-7.0 * 10000 / 100000), 7), 9) AS theory")
+def accuracy_bloom(spark, d):
+    """10,000 members in 100,000 bits by 7 hashes, probed with 100,000 others."""
+    members, others = generators.prefixed_ids(spark, "event", 10_000), generators.prefixed_ids(spark, "never", 100_000)
+    bits = sketches.bloom_bits(members, "id")
+    tested = sketches.bloom_test(bits, members.unionByName(others), "id").withColumn("member", F.col("id").startswith("event:"))
+    wrong = F.count_if(~F.col("member") & F.col("maybe")) / F.count_if(~F.col("member"))
+    out = tested.agg(F.count_if(F.col("member") & ~F.col("maybe")).alias("false_negatives"), (wrong < 0.01).alias("within_1_percent"))
+    return out.withColumn("theory", F.round(F.lit(sketches.bloom_false_positive_rate(10_000, 100_000, 7)), 9))
+
+
+@query("SELECT event_type, printf('%.2f', round(sum(value), 2)) AS total, format('{:,}', sum(event_id)::BIGINT) AS ids, '{\"type\":\"' || event_type || '\",\"n\":' || count(*) || '}' AS row FROM events GROUP BY event_type")
+def format_rows(spark, d):
+    counts = tables.table(spark, d, "events").groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("v"), F.sum("event_id").alias("i"), F.count("*").alias("n"))
+    return counts.select("event_type", formatting.fixed(F.col("v"), 2).alias("total"), formatting.grouped(F.col("i")).alias("ids"), formatting.json(type=F.col("event_type"), n=F.col("n")).alias("row"))
 
 
 # Top-K -------------------------------------------------------------------------------------------
@@ -303,28 +349,27 @@ def _plays(spark, d):
     return df.select(windows.truncate(F.col("t"), DAY).alias("win"), topk.shard_of("event_id", 2).alias("shard"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("item"), "event_id")
 
 
-SHARDS = f"""{E}, k AS (SELECT event_id::VARCHAR AS item, 99 AS seed, t // {DAY} * {DAY} AS win, 'u' || user_id AS name FROM e), {hashed('k', 'k_hashed')},
-p AS (SELECT win, h % 2 AS shard, name, count(*) AS n FROM k_hashed GROUP BY ALL), i AS (SELECT DISTINCT name AS item, s.seed FROM p, (SELECT unnest(range(4)) AS seed) s), {hashed('i', 'i_hashed')},
+# Every user is a candidate here (there are fewer than the summaries hold), so the best estimates of all are the fast path's.
+SHARDS = f"""{E}, p AS (SELECT t // {DAY} * {DAY} AS win, 'u' || user_id AS name, count(*) AS n FROM e GROUP BY ALL),
+i AS (SELECT DISTINCT name AS item, s.seed FROM p, (SELECT unnest(range(4)) AS seed) s), {hashed('i', 'i_hashed')},
 cells AS (SELECT item AS name, seed AS r, h % 1024 AS c FROM i_hashed),
-grid AS (SELECT win, shard, r, c, sum(n) AS n FROM p JOIN cells USING (name) GROUP BY ALL),
-est AS (SELECT win, shard, name, min(grid.n) AS estimate FROM p JOIN cells USING (name) JOIN grid USING (win, shard, r, c) GROUP BY ALL),
-cand AS (SELECT win, name FROM est QUALIFY row_number() OVER (PARTITION BY win, shard ORDER BY estimate DESC, name) <= 10)"""
+grid AS (SELECT win, r, c, sum(n) AS n FROM p JOIN cells USING (name) GROUP BY ALL)"""
 
 
-@query(f"""WITH {SHARDS}, merged AS (SELECT win, r, c, sum(n) AS n FROM grid GROUP BY ALL)
+@query(f"""WITH {SHARDS}
 SELECT win, item, estimate, row_number() OVER (PARTITION BY win ORDER BY estimate DESC, item) AS rank FROM (
-SELECT win, name AS item, min(m.n)::BIGINT AS estimate FROM (SELECT DISTINCT * FROM cand) JOIN cells USING (name) JOIN merged m USING (win, r, c) GROUP BY ALL) QUALIFY rank <= 3""")
+SELECT win, name AS item, min(grid.n)::BIGINT AS estimate FROM p JOIN cells USING (name) JOIN grid USING (win, r, c) GROUP BY ALL) QUALIFY rank <= 3""")
 def topk_fast_windows(spark, d):
-    return numbers(topk.fast_path(_plays(spark, d), "win", "shard", "item", 3, 10)[0], "rank")
+    return numbers(topk.fast_path(_plays(spark, d), "win", "shard", "item", 3, 2_000)[0], "rank")
 
 
-DAILY = """daily AS (SELECT name AS item, min(m.n)::BIGINT AS estimate FROM (SELECT DISTINCT name FROM cand) JOIN cells USING (name) JOIN (SELECT r, c, sum(n) AS n FROM grid GROUP BY ALL) m USING (r, c) GROUP BY ALL),
+DAILY = """daily AS (SELECT name AS item, min(m.n)::BIGINT AS estimate FROM (SELECT DISTINCT name FROM p) JOIN cells USING (name) JOIN (SELECT r, c, sum(n) AS n FROM grid GROUP BY ALL) m USING (r, c) GROUP BY ALL),
 fast AS (SELECT item, estimate, row_number() OVER (ORDER BY estimate DESC, item) AS rank FROM daily QUALIFY rank <= 10)"""
 
 
 @query(f"WITH {SHARDS}, {DAILY} SELECT * FROM fast")
 def topk_fast_total(spark, d):
-    return numbers(topk.fast_path(_plays(spark, d), "win", "shard", "item", 10, 10)[1], "rank")
+    return numbers(topk.fast_path(_plays(spark, d), "win", "shard", "item", 10, 2_000)[1], "rank")
 
 
 def _ranked_exact(spark, d):
@@ -334,14 +379,14 @@ def _ranked_exact(spark, d):
 @query(f"""WITH {SHARDS}, {DAILY}, x AS (SELECT 'u' || user_id AS item, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, 'u' || user_id) AS rank FROM events GROUP BY user_id QUALIFY rank <= 10)
 SELECT rank, fast.item AS fast_item, x.item AS exact_item, fast.item IS NOT DISTINCT FROM x.item AS same, fast.item IN (SELECT item FROM x) AS in_exact FROM fast FULL JOIN x USING (rank)""")
 def topk_compare(spark, d):
-    fast = topk.fast_path(_plays(spark, d), "win", "shard", "item", 10, 10)[1]
+    fast = topk.fast_path(_plays(spark, d), "win", "shard", "item", 10, 2_000)[1]
     return numbers(topk.compare(fast, _ranked_exact(spark, d), "item"), "rank")
 
 
 @query(f"""WITH {SHARDS}, {DAILY}, x AS (SELECT 'u' || user_id AS item FROM events GROUP BY user_id ORDER BY count(*) DESC, 'u' || user_id LIMIT 10)
 SELECT count(*) AS hits, count(*) / 10.0::DOUBLE AS precision FROM fast WHERE item IN (SELECT item FROM x)""")
 def topk_precision(spark, d):
-    return topk.precision(topk.fast_path(_plays(spark, d), "win", "shard", "item", 10, 10)[1], _ranked_exact(spark, d), "item", 10)
+    return topk.precision(topk.fast_path(_plays(spark, d), "win", "shard", "item", 10, 2_000)[1], _ranked_exact(spark, d), "item", 10)
 
 
 @query()
@@ -552,14 +597,15 @@ def replay_determinism(spark, d):
 
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS running FROM events")
 def running_count(spark, d):
-    return tables.table(spark, d, "events").select("event_id", "user_id", F.count("*").over(Window.partitionBy("user_id").orderBy("event_id")).alias("running"))
+    return scan.running_count(tables.table(spark, d, "events").select("event_id", "user_id"), "event_id", "running", ["user_id"])
 
 
-@query("SELECT 'impression' AS kind, event_id, user_id FROM events WHERE event_type = 'view' UNION ALL SELECT 'click', event_id, user_id FROM events WHERE event_type = 'click'")
+@query("SELECT 'impression' AS kind, event_id, user_id, floor(epoch(ts))::BIGINT AS t FROM events WHERE event_type = 'view' UNION ALL SELECT 'click', event_id, user_id, floor(epoch(ts))::BIGINT FROM events WHERE event_type = 'click' ORDER BY t, event_id")
 def merged_streams(spark, d):
-    df = tables.table(spark, d, "events")
-    views, clicks = (df.where(F.col("event_type") == e).select(F.lit(kind).alias("kind"), "event_id", "user_id") for e, kind in (("view", "impression"), ("click", "click")))
-    return views.unionByName(clicks)
+    """Two streams as one, in order of event time."""
+    df = tables.events(spark, d)
+    views, clicks = (df.where(F.col("event_type") == e).select(F.lit(kind).alias("kind"), "event_id", "user_id", "t") for e, kind in (("view", "impression"), ("click", "click")))
+    return views.unionByName(clicks).orderBy("t", "event_id")
 
 
 # Streams -----------------------------------------------------------------------------------------
@@ -571,6 +617,21 @@ def _stream(spark, d):
     return tables.with_times(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
 
 
+def _files(spark, df: DataFrame, part, parts: int) -> str:
+    """A folder with a file for each part, written one after another: a stream of so many batches."""
+    folder = streams.scratch_folder(spark)
+    for k in range(parts):
+        df.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _batches(spark, d, parts: int = 4) -> DataFrame:
+    """events in order of arrival, in so many batches."""
+    df = tables.events(spark, d).select("event_id", "user_id", "t", "seq")
+    most = df.agg(F.max("seq")).first()[0] or 0
+    return streams.replayable(spark, _files(spark, df, F.floor(F.col("seq") * float(parts) / (most + 1)), parts), df.schema.simpleString()[7:-1].replace(":", " "))
+
+
 def _finished(spark, df: DataFrame, mode: str) -> DataFrame:
     """What a stream has emitted when its sources are at their end."""
     folder = streams.scratch_folder(spark)
@@ -601,8 +662,50 @@ l AS (SELECT *, coalesce(wm >= w + {DAY}, false) AND row_number() OVER (PARTITIO
 x AS (SELECT user_id, max(t) - {TEN_MINUTES} AS final FROM e GROUP BY user_id)
 SELECT l.user_id::VARCHAR AS key, w AS window_start, count(*) AS n FROM l JOIN x USING (user_id) WHERE NOT late GROUP BY l.user_id, w, final HAVING w + {DAY} <= final""")
 def stream_late_drop(spark, d):
-    """The lateness rule event by event, per user, with state."""
-    return _finished(spark, streams.exact_late_drop(_stream(spark, d), "t", "seq", DAY, TEN_MINUTES, "user_id"), "append")
+    """The lateness rule event by event, per user, with state, over four batches."""
+    return _finished(spark, streams.exact_late_drop(_batches(spark, d), "t", "seq", DAY, TEN_MINUTES, "user_id"), "append")
+
+
+@query(f"""WITH {LATE} SELECT 'all' AS key, w AS window_start, count(*) AS n FROM l WHERE NOT late GROUP BY w HAVING (SELECT max(t) - {TEN_MINUTES} FROM e) >= w + {SIX_HOURS}""")
+def stream_late_drop_all(spark, d):
+    """The rule over all events, which is one order and so one task a batch."""
+    return _finished(spark, streams.exact_late_drop(_batches(spark, d).withColumn("key", F.lit("all")), "t", "seq", SIX_HOURS, TEN_MINUTES, "key"), "append")
+
+
+@query("""SELECT count(*) + count(*) FILTER (event_id % 4 = 2) AS counter, count(DISTINCT event_id) AS upsert, count(*) AS transactional, 1 AS crashes FROM events""")
+def stream_sinks(spark, d):
+    """Three sinks after a crash behind the third of four batches: what is sent again counts again in the first only."""
+    folder = streams.scratch_folder(spark)
+    log = _files(spark, tables.table(spark, d, "events").select("event_id"), F.col("event_id") % 4, 4)
+    made = (sinks.CounterSink(f"{folder}/counter", sinks.CrashOnce(2)), sinks.UpsertSink(f"{folder}/upsert", "event_id", sinks.CrashOnce(2)), sinks.TransactionalSink(f"{folder}/whole", sinks.CrashOnce(2)))
+    crashes = [streams.run_with_restarts(lambda: streams.replayable(spark, log, "event_id long"), f"{folder}/check-{k}", sink) for k, sink in enumerate(made)]
+    totals = [sink.total(spark) for sink in made]
+    return spark.createDataFrame([(*totals, max(crashes))], "counter long, upsert long, transactional long, crashes int")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def stream_recovered(spark, d):
+    """Counts whose state is taken up from the checkpoint after a crash in the third of four batches."""
+    folder = streams.scratch_folder(spark)
+    log = _files(spark, tables.table(spark, d, "events").select("event_id", "user_id"), F.col("event_id") % 4, 4)
+    sink = sinks.UpsertSink(f"{folder}/counts", "user_id", sinks.CrashOnce(2))
+    streams.run_with_restarts(lambda: unified.count_step(streams.replayable(spark, log, "event_id long, user_id long"), "user_id"), f"{folder}/check", sink, mode="update")
+    return sink.read(spark).select("user_id", "n")
+
+
+@query(f"""WITH {E}, c AS (SELECT * FROM e WHERE event_type = 'click'), i AS (SELECT * FROM e WHERE event_type = 'view')
+SELECT c.event_id AS click_id, i.event_id AS impression_id FROM c LEFT JOIN i ON i.user_id = c.user_id AND i.t <= c.t AND c.t - i.t <= 43200
+QUALIFY row_number() OVER (PARTITION BY c.event_id ORDER BY i.t DESC, i.event_id DESC) = 1""")
+def stream_last_touch(spark, d):
+    """Two streams of four batches by time; two events far ahead let the last clicks out."""
+    sides = []
+    for kind in ("click", "view"):
+        df = tables.events(spark, d).where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), "t", F.col("event_id").alias("id"))
+        ahead = spark.createDataFrame([(-1, ANCHOR + 10_000 * DAY, -1), (-1, ANCHOR + 20_000 * DAY, -2)], "key long, t long, id long")
+        part = F.greatest(F.lit(0), F.floor((F.col("t") - ANCHOR) / (8 * DAY)))
+        log = _files(spark, df.unionByName(ahead), F.when(F.col("id") < 0, 3 - F.col("id")).otherwise(F.least(part, F.lit(3))), 6)
+        sides.append(streams.replayable(spark, log, "key long, t long, id long"))
+    return _finished(spark, streams.last_touch(*sides, "key", "t", 43_200, 23 * HOUR), "append").where("click_id >= 0")
 
 
 # Flow control ------------------------------------------------------------------------------------
@@ -682,20 +785,22 @@ def schema_register(spark, d):
     return spark.createDataFrame(rows, "change string, mode string, ok boolean, id long, reasons long")
 
 
-@query("SELECT event_id, user_id::VARCHAR AS \"userId\", event_type AS \"pageId\", event_id::VARCHAR AS ts, CASE WHEN event_id % 2 = 0 THEN 'c' || user_id END AS \"campaignId\" FROM events")
+@query("""SELECT event_id, user_id::VARCHAR AS "userId", event_type AS "pageId", event_id::VARCHAR AS ts, CASE WHEN event_id % 4 = 2 THEN 'c' || user_id END AS "campaignId", '' AS "pageUrl" FROM events""")
 def schema_consume(spark, d):
+    """Two versions read by a third: a field neither has takes its default, a null that is there stays."""
     reg, _ = _registry(spark)
     df = tables.table(spark, d, "events")
     base = [F.lit("userId"), F.col("user_id").cast("string"), F.lit("pageId"), F.col("event_type"), F.lit("ts"), F.col("event_id").cast("string")]
     old = registry.produce(df.where("event_id % 2 = 1").select("event_id", F.create_map(*base).alias("data")), 1)
-    new = registry.produce(df.where("event_id % 2 = 0").select("event_id", F.create_map(*base, F.lit("campaignId"), F.concat(F.lit("c"), F.col("user_id").cast("string"))).alias("data")), 2)
-    return registry.consume(old.unionByName(new), reg, reg.by_id(2))
+    campaign = F.when(F.col("event_id") % 4 == 2, F.concat(F.lit("c"), F.col("user_id").cast("string")))
+    new = registry.produce(df.where("event_id % 2 = 0").select("event_id", F.create_map(*base, F.lit("campaignId"), campaign).alias("data")), 2)
+    return registry.consume(old.unionByName(new), reg, reg.by_id(3))
 
 
 # Generators --------------------------------------------------------------------------------------
 
 
-@query("SELECT tag, n FROM (VALUES ('#worldcup', 50000::BIGINT), ('#election', 30000), ('#nba', 12000), ('#taylorswift', 8000)) v(tag, n) UNION ALL SELECT '#tag' || i, 4 FROM range(50000) t(i)")
+@query("SELECT tag, n FROM (VALUES ('#harvest', 50000::BIGINT), ('#regatta', 30000), ('#chess', 12000), ('#lantern', 8000)) v(tag, n) UNION ALL SELECT '#tag' || i, 4 FROM range(50000) t(i)")
 def generate_tags(spark, d):
     return generators.skewed_tags(spark).groupBy("tag").agg(F.count("*").alias("n"))
 
@@ -715,12 +820,25 @@ def generate_log(spark, d):
     return generators.rate_log(spark, 19, 3)
 
 
-@query()
+def _drawn(rows: int, *seeds: int) -> str:
+    """SQL of r(id, u0, u1, ...): the generators' numbers in [0, 1), a seed each."""
+    numbers = ", ".join(f"max(h) FILTER (seed = {s}) / 4294967296.0::DOUBLE AS u{k}" for k, s in enumerate(seeds))
+    return f"i AS (SELECT id::VARCHAR AS item, id, unnest({list(seeds)}) AS seed FROM range({rows}) t(id)), {hashed('i')}, r AS (SELECT id, {numbers} FROM hashed GROUP BY id)"
+
+
+@query(f"WITH {_drawn(20_000, 11, 12)} SELECT floor(u0 * 7200)::BIGINT AS ts, ['DE', 'DE', 'DE', 'FR', 'FR', 'ES'][floor(u1 * 6)::INTEGER + 1] AS country FROM r")
 def generate_page_views(spark, d):
-    """Drawn by hashes of Spark's own: the rows are Spark's, tests look at their shares."""
     return generators.page_views(spark)
 
 
-@query()
+@query(f"""WITH {_drawn(50_000, 7, 8, 9)}, w AS (SELECT k, sum(1 / k::DOUBLE) OVER (ORDER BY k) / (SELECT sum(1 / k::DOUBLE) FROM range(1, 2001) t(k)) AS hi FROM range(1, 2001) t(k)),
+b AS (SELECT k, coalesce(lag(hi) OVER (ORDER BY k), 0) AS lo, CASE WHEN k = 2000 THEN 1 ELSE hi END AS hi FROM w)
+SELECT floor(u1 * 10800)::BIGINT AS ts, 'user-' || floor(u2 * 5000)::BIGINT AS user, 'song-' || lpad(k::VARCHAR, 4, '0') AS song FROM r JOIN b ON u0 >= lo AND u0 < hi""")
 def generate_zipf(spark, d):
     return generators.zipf_plays(spark)
+
+
+@query("SELECT id, row_number() OVER (ORDER BY id) AS place FROM range(1000) t(id)")
+def generate_shuffled(spark, d):
+    """A shuffle loses and repeats nothing; sorted by its key again, rows have their places."""
+    return scan.running_count(generators.shuffled(spark.range(1_000).withColumn("k", F.lit(0)), "id"), "id", "place", ["k"], rows=100).select("id", "place").orderBy("id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash32
+
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Rows with `seq`, their place of arrival."""
@@ -13,7 +15,7 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 def uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) from a row's key and a seed: the same in every run and partitioning."""
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return hash32(key.cast("string"), seed) / F.lit(float(1 << 32))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -21,7 +23,7 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
 
 
-def skewed_tags(spark: SparkSession, hot: tuple = (("#worldcup", 50_000), ("#election", 30_000), ("#nba", 12_000), ("#taylorswift", 8_000)), tail: int = 50_000, tail_rows: int = 200_000) -> DataFrame:
+def skewed_tags(spark: SparkSession, hot: tuple = (("#harvest", 50_000), ("#regatta", 30_000), ("#chess", 12_000), ("#lantern", 8_000)), tail: int = 50_000, tail_rows: int = 200_000) -> DataFrame:
     """(tag): a few hot tags and a long tail."""
     parts = [spark.range(n).select(F.lit(tag).alias("tag")) for tag, n in hot]
     parts.append(spark.range(tail_rows).select(F.concat(F.lit("#tag"), (F.col("id") % tail).cast("string")).alias("tag")))
@@ -39,7 +41,7 @@ def prefixed_ids(spark: SparkSession, prefix: str, n: int) -> DataFrame:
     return spark.range(n).select(F.concat(F.lit(prefix + ":"), F.col("id").cast("string")).alias("id"))
 
 
-def page_views(spark: SparkSession, rows: int = 20_000, seconds: int = 7_200, countries: tuple = ("US", "IN", "UK", "US", "US", "IN"), seed: int = 12_345) -> DataFrame:
+def page_views(spark: SparkSession, rows: int = 20_000, seconds: int = 7_200, countries: tuple = ("DE", "DE", "DE", "FR", "FR", "ES"), seed: int = 11) -> DataFrame:
     """(ts, country): times over the span, countries by how often they are listed."""
     pick = F.floor(uniform(F.col("id"), seed + 1) * len(countries)).cast("int") + 1
     return spark.range(rows).select(F.floor(uniform(F.col("id"), seed) * seconds).cast("long").alias("ts"), F.element_at(F.array(*map(F.lit, countries)), pick).alias("country"))

@@ -78,3 +78,9 @@ class TransactionalSink:
 
     def total(self, spark: SparkSession) -> int:
         return spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*").count()
+
+
+def console(df: DataFrame, checkpoint: str, mode: str = "append", rows: int = 20) -> None:
+    """Prints what a stream emits, batch by batch, until its sources are at their end."""
+    writer = df.writeStream.format("console").outputMode(mode).option("checkpointLocation", checkpoint).option("numRows", rows).option("truncate", False)
+    writer.trigger(availableNow=True).start().awaitTermination()
