@@ -1,5 +1,6 @@
 """Toxicity, language model, classifier, SimHash, extraction and the pipeline, against brute force."""
 
+import hashlib
 import math
 import os
 import random
@@ -615,3 +616,75 @@ def test_pipeline_stages(spark, labelled, tmp_path):
     assert {r.doc_id for r in kept[4].collect()} == {r.doc_id for r in kept[3].collect()}
     assert kept[4].groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 1024").isEmpty()
     assert corpus_pipeline.run(spark, folder).count() == kept[4].count()
+
+
+def test_pipeline_equals_brute_force(spark, labelled, tmp_path):
+    """Every row of the run, from plain Python over all pairs; copies and near copies among the documents."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs, labels = labelled
+    folder, rng = str(tmp_path), random.Random(30)
+    rows = [(r.doc_id, r.text, "en", ["a", "b", None][i % 7 % 3], 1) for i, r in enumerate(sorted(docs.collect(), key=repr)) if i < 350 or r.doc_id is None or r.doc_id >= 9_000]
+    for k in range(30):
+        words = rows[k][1].split()
+        words[rng.randrange(len(words))] = "changed"
+        rows += [(5_000 + 2 * k, "  ".join(words), "en", "b", 1), (5_001 + 2 * k, rows[k][1] + " ", "en", "a", 1)]
+    rows.append((7_000, prose(rng, 6_000), "en", "b", 1))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    scorer = toxicity.Scorer(toxicity.fit(table, labels))
+    marks = {(r.doc_id, r.source, r.text): r.m for r in table.selectExpr("*", "xxhash64(doc_id, source, text) AS m").collect()}
+    first = lambda r: (r[0] is None, r[0] or 0)
+    left = [r for r in rows if scorer.score(r[1]) < toxicity.THRESHOLD]
+    assert 30 < len(rows) - len(left) < 200
+    exact = {}
+    for r in sorted(left, key=first):
+        exact.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or ""), r)
+    left = list(exact.values())
+    words = [(r[1] or "").lower().split() for r in left]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if root[i] != root[j] and (sets[i] == sets[j] or 2 * min(len(sets[i]), len(sets[j])) >= max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    left = [r for k, r in enumerate(left) if root[k] == k]  # in order of ids
+    assert len(set(root)) < len(root)
+    size = {k: len((r[1] or "").split()) for k, r in enumerate(left)}
+    sources = sorted({r[3] for r in left}, key=lambda x: (x is None, x or ""))
+    of = {x: sum(size[k] for k, r in enumerate(left) if r[3] == x) for x in sources}
+    weight, target, open_ = {x: (5, 2, 1)[k % 3] for k, x in enumerate(sources)}, {}, set(sources)
+    while True:
+        level = (sum(of.values()) - sum(target.values())) / sum(weight[x] for x in open_) if open_ else 0
+        above = {x for x in open_ if level * weight[x] > 3 * of[x]}
+        target |= {x: 3 * of[x] for x in above}
+        open_ -= above
+        if not above:
+            break
+    target |= {x: level * weight[x] for x in open_}
+    times = {}
+    for x in sources:
+        order = sorted((k for k, r in enumerate(left) if r[3] == x), key=lambda k: hashlib.md5(f"mix:{{{'null' if left[k][0] is None else left[k][0]}, {marks[left[k][0], left[k][3], left[k][1]]}}}".encode()).hexdigest())
+        take, at = math.floor(target[x] + 0.5), 0
+        for k in order:
+            taken = sum(max(0, min(at + size[k] + e * of[x], take) - at - e * of[x]) for e in range(3))
+            times[k] = 1 if not size[k] else math.floor(taken / size[k] + 0.5)
+            at += size[k]
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for k, r in enumerate(left):
+        ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[r[0], n, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += times[k]
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == +want
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for parts in places.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 1024
+    assert len(places) <= sum(r.length for r in got) / 1024 * 1.05 + 2

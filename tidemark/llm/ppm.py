@@ -356,13 +356,18 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = ORDER, model
 
         schema = f"row long, doc_id {kind}, mark long, score double" + (", base double, n_tokens long, n_known long, rare array<long>" if shard == 0 else "")
         tables.append(scratch.write(slim.mapInArrow(run, schema), f"scores{shard}"))
+        model.destroy()
+        del table
     scored = tables[0]
     rare = scored.select("row", F.explode("rare").alias("key"))
     seldom = words.where(F.col("n") < least)
     found = rare.join(seldom, "key", "left")
     c = F.coalesce("n", F.lit(0))
     rest = found.groupBy("row").agg(F.sum(F.log10(c + F.lit(0.1))).alias("rare_base"), F.count_if(c > 0).alias("rare_known"))
-    out = scored.join(scratch.write(rest, "rest"), "row", "left")
+    rest = scratch.write(rest, "rest")
+    shared.destroy()
+    scratch.keep(*tables, rest)
+    out = scored.join(rest, "row", "left")
     total = F.col("score")
     for k, more in enumerate(tables[1:]):
         # Another pass may number rows otherwise; a row is known again by its id and text.
@@ -376,6 +381,7 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = ORDER, model
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_documents for all documents, learned from those outside the fold; nulls, empties and repeats as there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scores = score_documents(docs, docs.where(~is_held_out(F.col("doc_id"))))
     return scores.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
