@@ -111,7 +111,7 @@ def mix_sources(
 
     documents: doc_id, row, size, source, source_size, target, taken; one row per input row. segments:
     source, position (of the slot in the mix), rank, start (word of the source's repeated stream),
-    doc_id, row, words; the mix itself, in order of (position, start).
+    passage (of the document in it), doc_id, row, words; the mix itself, in order of (position, start).
 
     Null or empty texts have size 0, a null source is a source, rows of equal id are separate
     documents, an empty table gives empty results; other columns are ignored. If all sizes are 0 so
@@ -132,13 +132,14 @@ def mix_sources(
     placed = placed.join(slim, placed["source"].eqNullSafe(slim["_source"])).drop("_source")
     placed = scratch.write(placed.select("doc_id", "row", "size", "source", "source_size", "target", "take", "place"), "placed")
     # Each time the stream passes a document; then the blocks that the passage meets.
-    passage = F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: F.col("place") + e * F.col("source_size"))).alias("start")
-    passages = placed.where("size > 0").select("doc_id", "row", "source", "size", "take", passage).where("start < take")
+    passage = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("passage")
+    passages = placed.where("size > 0").select("doc_id", "row", "source", "source_size", "size", "take", "place", passage)
+    passages = passages.withColumn("start", F.col("place") + F.col("passage") * F.col("source_size")).where("start < take")
     passages = passages.withColumn("end", F.least(F.col("start") + F.col("size"), F.col("take")))
     block = F.explode(F.expr(f"sequence(start div {block_tokens}, (end - 1) div {block_tokens})")).alias("rank")
-    blocks = passages.select("doc_id", "row", "source", "start", "end", block)
+    blocks = passages.select("doc_id", "row", "source", "passage", "start", "end", block)
     first = F.greatest("start", F.col("rank") * block_tokens)
-    blocks = blocks.select("doc_id", "row", "source", "rank", first.alias("start"), (F.least("end", (F.col("rank") + 1) * block_tokens) - first).alias("words"))
+    blocks = blocks.select("doc_id", "row", "source", "passage", "rank", first.alias("start"), (F.least("end", (F.col("rank") + 1) * block_tokens) - first).alias("words"))
     slots = schedule(spark, targets, block_tokens).withColumnsRenamed({"source": "_source", "rank": "_rank"})
     segments = blocks.join(slots, blocks["source"].eqNullSafe(slots["_source"]) & (blocks["rank"] == slots["_rank"])).drop("_source", "_rank")
     segments = scratch.write(segments, "segments")
@@ -161,20 +162,21 @@ def mix_documents(docs: DataFrame, position: str = "position") -> DataFrame:
 
     position: that of the slot in which the copy's passage begins (of the last one, if the mix takes fewer);
     null for rows without a word, which are of no source's words and stay once. Null ids and sources are
-    like others, rows that share id, source and text share what the mix takes of them, an empty table stays
+    like others, rows that share id, source and text share what the mix takes of them and its places, an empty table stays
     empty; columns are kept whatever their names, except that one of the name of `position` is replaced.
     """
     columns = [c for c in docs.columns if c != position]
     mark, copy, id_, taken_mark, starts = fresh(docs, "_mark", "_copy", "_id", "_taken", "_starts")
     ident = F.xxhash64("doc_id", "source", "text")
     taken, segments = mix_sources(docs.select(F.struct("doc_id", ident.alias("mark")).alias("doc_id"), "source", "text"))
-    passage = segments.join(taken.select(F.col("row").alias("_row"), "source_size"), F.col("row") == F.col("_row"))
-    first = passage.groupBy("doc_id", "row", F.expr("start div source_size").alias("passage")).agg(F.min_by("position", "start").alias("position"))
-    first = first.groupBy("doc_id").agg(F.sort_array(F.collect_list("position")).alias("starts"))  # MAX_REPEATS a row
-    taken = taken.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.count("*").alias("n")).join(first, "doc_id", "left")
+    # One row a passage's block beside one a document, so that they meet in a group and not in a join.
+    blank = F.lit(None).cast("long")
+    both = taken.select("doc_id", "taken", "size", F.lit(None).cast("int").alias("passage"), blank.alias("position"))
+    both = both.unionByName(segments.select("doc_id", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("size"), "passage", "position"))
+    first = F.array_compact(F.array(*[F.min(F.when(F.col("passage") == e, F.col("position"))) for e in range(MAX_REPEATS)]))
+    taken = both.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), first.alias("starts"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    # Rows that share their id, source and text share its passages.
-    places = F.expr("transform(sequence(0, greatest(times, 1) - 1), k -> element_at(starts, least(k * cast(n as int), size(starts) - 1) + 1))")
+    places = F.expr("transform(sequence(0, greatest(times, 1) - 1), k -> element_at(starts, least(k, size(starts) - 1) + 1))")
     taken = taken.withColumn("times", times).where("times > 0")
     taken = taken.select(F.col("doc_id.doc_id").alias(id_), F.col("doc_id.mark").alias(taken_mark), F.when(F.size("starts") > 0, places).otherwise(F.array(F.lit(None).cast("long"))).alias(starts))
     taken = Scratch(docs.sparkSession, "mix").write(taken, "times")
