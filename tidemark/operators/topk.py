@@ -104,13 +104,17 @@ def heap_in_order(df: DataFrame, by: list[str], item: str, order: str, k: int) -
             return pd.DataFrame(rows, columns=[*by, item, "estimate"])
 
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                key = tuple(row[: len(by)])
-                if key != group:
+            items, estimates = batch[item].tolist(), batch["_estimate"].tolist()
+            keys = list(zip(*(batch[c].tolist() for c in by)))
+            # Groups stand together: their bounds, then one run over each group's arrays.
+            bounds = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
+            for begin, end in zip(bounds, bounds[1:]):
+                if keys[begin] != group:
                     if group is not None:
                         yield emit()
-                    group, heap = key, Heap(k)
-                heap.offer(row[len(by)], row[-1])
+                    group, heap = keys[begin], Heap(k)
+                for name, n in zip(items[begin:end], estimates[begin:end]):
+                    heap.offer(name, n)
         if group is not None:
             yield emit()
 
