@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, packing, quality_rules, url_filter
+from tidemark.llm import common, exact_dedup, mixing, packing, quality_rules, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row int, _run string, hash string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,7 +79,7 @@ def test_mix_reaches_targets_and_repeats_no_document_too_often(docs, empty):
 
 def test_schedule_spreads_each_source(spark):
     targets = spark.createDataFrame([("a", 6_000), ("b", 1_500), (None, 500)], "source string, take long")
-    slots = mixing.schedule(spark, targets, 1).orderBy("position").collect()
+    slots = mixing.schedule(common.Scratch(spark, "t"), targets, 1).orderBy("position").collect()
     assert Counter(s.source for s in slots) == {"a": 6_000, "b": 1_500, None: 500}
     place = {s: [x.position for x in slots if x.source == s] for s in ("a", "b", None)}
     for s, n in (("a", 6_000), ("b", 1_500), (None, 500)):

@@ -75,16 +75,17 @@ def _ranked(frame: DataFrame, groups: list, run: Column, order: list, value: Col
     far = runs.groupBy(*groups, "_far").agg(F.sum("_sum").alias("_all"))
     far = far.select(*groups, "_far", F.coalesce(F.sum("_all").over(back(*groups, by="_far")), F.lit(0)).alias("_before"))
     near = runs.select(*groups, "_run", "_far", F.coalesce(F.sum("_sum").over(back(*groups, "_far", by="_run")), F.lit(0)).alias("_near"))
-    runs = near.join(far, [near[c].eqNullSafe(far[c]) for c in (*groups, "_far")]).select(*[near[c] for c in groups], near["_run"], (near["_near"] + far["_before"]).alias("_base"))
     inner = Window.partitionBy(*groups, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     frame = frame.withColumn("_inner", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
-    match = [frame[c].eqNullSafe(runs[c]) for c in (*groups, "_run")]
-    joined = frame.join(runs, match)
-    kept = [frame[c] for c in frame.columns if c not in ("_run", "_value", "_inner")]
-    return joined.select(*kept, (frame["_inner"] + runs["_base"]).cast("long").alias(out))
+    kept = [c for c in frame.columns if c not in ("_run", "_value", "_inner")]
+    # One after the other: the join of two tables of runs would look larger to the planner than the rows it is for.
+    near, far = near.toDF(*[f"_near_{c}" for c in near.columns]), far.toDF(*[f"_far_{c}" for c in far.columns])
+    frame = frame.join(near, [F.col(c).eqNullSafe(F.col(f"_near_{c}")) for c in (*groups, "_run")])
+    frame = frame.join(far, [F.col(f"_near_{c}").eqNullSafe(F.col(f"_far_{c}")) for c in (*groups, "_far")])
+    return frame.select(*kept, (F.col("_inner") + F.col("_near__near") + F.col("_far__before")).cast("long").alias(out))
 
 
-def schedule(spark: SparkSession, targets: DataFrame, block_tokens: int) -> DataFrame:
+def schedule(scratch: Scratch, targets: DataFrame, block_tokens: int) -> DataFrame:
     """(source, rank, position): the slots of each source, ranked by their position in the mix.
 
     A source has ceil(take / block_tokens) cells of a grid of 2^m, so that many van der Corput points.
@@ -99,7 +100,7 @@ def schedule(spark: SparkSession, targets: DataFrame, block_tokens: int) -> Data
     cell = F.explode(F.expr(f"sequence(part * {RUN}, least(n, (part + 1) * {RUN}) - 1)"))
     slots = parts.select("source", "bits", "first", cell.alias("cell"))
     point = F.conv(F.reverse(F.lpad(F.bin(F.col("first") + F.col("cell")), F.col("bits"), F.lit("0"))), 2, 10).cast("long")
-    slots = slots.select("source", point.alias("position"))
+    slots = scratch.write(slots.select("source", point.alias("position")), "slots")  # so that their number is known
     return _ranked(slots, ["source"], F.floor(F.col("position") / RUN), ["position"], F.lit(1), "rank")
 
 
@@ -118,8 +119,7 @@ def mix_sources(
     are all targets. Each source's taken words are its target rounded, and a document's are at most
     max_repeats times its size.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
+    scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.write(document_sizes(docs, id_col, text_col, source_col, seed), "sizes")
     targets = scratch.write(source_targets(sizes, weights, max_repeats), "targets")
     # Runs of the shuffled order: as many per source as give about RUN documents if all were of one source.
@@ -140,7 +140,7 @@ def mix_sources(
     blocks = passages.select("doc_id", "row", "source", "passage", "start", "end", block)
     first = F.greatest("start", F.col("rank") * block_tokens)
     blocks = blocks.select("doc_id", "row", "source", "passage", "rank", first.alias("start"), (F.least("end", (F.col("rank") + 1) * block_tokens) - first).alias("words"))
-    slots = schedule(spark, targets, block_tokens).withColumnsRenamed({"source": "_source", "rank": "_rank"})
+    slots = schedule(scratch, targets, block_tokens).withColumnsRenamed({"source": "_source", "rank": "_rank"})
     segments = blocks.join(slots, blocks["source"].eqNullSafe(slots["_source"]) & (blocks["rank"] == slots["_rank"])).drop("_source", "_rank")
     segments = scratch.write(segments, "segments")
     scratch.keep(placed, segments)
