@@ -133,6 +133,6 @@ def test_two_layers_drift(spark):
 def test_generators(spark):
     views = generators.page_views(spark)
     shares = {r.country: r["count"] / 20_000 for r in views.groupBy("country").count().collect()}
-    assert abs(shares["US"] - 1 / 2) < 0.02 and abs(shares["IN"] - 1 / 3) < 0.02 and abs(shares["UK"] - 1 / 6) < 0.02
+    assert abs(shares["DE"] - 1 / 2) < 0.02 and abs(shares["FR"] - 1 / 3) < 0.02 and abs(shares["ES"] - 1 / 6) < 0.02
     assert views.where("ts < 0 or ts >= 7200").isEmpty()
     assert rows(generators.page_views(spark).limit(50)) == rows(generators.page_views(spark).limit(50))
