@@ -41,7 +41,6 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: set[str] = set()
-        self._path(self.root)[1].deleteOnExit(self._path(self.root)[0])
 
     def _path(self, path: str) -> tuple:
         context = self.spark.sparkContext
@@ -52,6 +51,9 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}-{name}"
         frame.write.parquet(path)
+        if self.count == 1:  # only what is there can be named for deletion
+            named, files = self._path(self.root)
+            files.deleteOnExit(named)
         table = self.spark.read.schema(frame.schema).parquet(path)
         table._scratch_path = path
         self.paths.add(path)
