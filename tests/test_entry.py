@@ -52,3 +52,22 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(plans.QUERIES.keys() - plans.ORACLES.keys()))
 def test_query_runs(spark, name):
     assert plans.QUERIES[name](spark, FOLDER).count() > 0
+
+
+@pytest.fixture(scope="module")
+def crowd(tmp_path_factory):
+    """Events of more users than a bounded summary of a shard holds, all about as frequent; some without user or time."""
+    folder = str(tmp_path_factory.mktemp("crowd"))
+    connection = duckdb.connect()
+    connection.sql("CREATE TABLE events AS SELECT k AS event_id, CASE WHEN k % 997 <> 0 THEN TIMESTAMP '2024-01-01' + to_seconds(k * 7 % 172800) END AS ts, CASE WHEN k % 1009 <> 0 THEN k * k % 14983 END AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{}' AS props FROM (SELECT unnest(range(30000)) AS k)")
+    connection.sql(f"COPY events TO '{folder}/events.parquet' (FORMAT parquet)")
+    return folder, connection
+
+
+@pytest.mark.parametrize("name", ["topk_fast_windows"])
+def test_every_item_is_a_candidate(spark, crowd, name):
+    folder, connection = crowd
+    ours, relation = plans.QUERIES[name](spark, folder), connection.sql(plans.ORACLES[name])
+    at = [relation.columns.index(c) for c in ours.columns]
+    want = sorted((tuple(r[i] for i in at) for r in relation.fetchall()), key=repr)
+    assert want and sorted(map(tuple, ours.collect()), key=repr) == want

@@ -349,7 +349,7 @@ def _plays(spark, d):
     return df.select(windows.truncate(F.col("t"), DAY).alias("win"), topk.shard_of("event_id", 2).alias("shard"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("item"), "event_id")
 
 
-# Every user is a candidate here (there are fewer than the summaries hold), so the best estimates of all are the fast path's.
+# Every user is a candidate, as in the fast path without a pool, so the best estimates of all are the fast path's.
 SHARDS = f"""{E}, p AS (SELECT t // {DAY} * {DAY} AS win, 'u' || user_id AS name, count(*) AS n FROM e GROUP BY ALL),
 i AS (SELECT DISTINCT name AS item, s.seed FROM p, (SELECT unnest(range(4)) AS seed) s), {hashed('i', 'i_hashed')},
 cells AS (SELECT item AS name, seed AS r, h % 1024 AS c FROM i_hashed),
@@ -360,7 +360,7 @@ grid AS (SELECT win, r, c, sum(n) AS n FROM p JOIN cells USING (name) GROUP BY A
 SELECT win, item, estimate, row_number() OVER (PARTITION BY win ORDER BY estimate DESC, item) AS rank FROM (
 SELECT win, name AS item, min(grid.n)::BIGINT AS estimate FROM p JOIN cells USING (name) JOIN grid USING (win, r, c) GROUP BY ALL) QUALIFY rank <= 3""")
 def topk_fast_windows(spark, d):
-    return numbers(topk.fast_path(_plays(spark, d), "win", "shard", "item", 3, 2_000)[0], "rank")
+    return numbers(topk.fast_path(_plays(spark, d), "win", "shard", "item", 3)[0], "rank")
 
 
 DAILY = """daily AS (SELECT name AS item, min(m.n)::BIGINT AS estimate FROM (SELECT DISTINCT name FROM p) JOIN cells USING (name) JOIN (SELECT r, c, sum(n) AS n FROM grid GROUP BY ALL) m USING (r, c) GROUP BY ALL),
