@@ -369,7 +369,7 @@ fast AS (SELECT item, estimate, row_number() OVER (ORDER BY estimate DESC, item)
 
 @query(f"WITH {SHARDS}, {DAILY} SELECT * FROM fast")
 def topk_fast_total(spark, d):
-    return numbers(topk.fast_path(_plays(spark, d), "win", "shard", "item", 10, 2_000)[1], "rank")
+    return numbers(topk.fast_path(_plays(spark, d), "win", "shard", "item", 10)[1], "rank")
 
 
 def _ranked_exact(spark, d):
