@@ -64,7 +64,7 @@ def crowd(tmp_path_factory):
     return folder, connection
 
 
-@pytest.mark.parametrize("name", ["topk_fast_windows", "topk_fast_total"])
+@pytest.mark.parametrize("name", ["topk_fast_windows", "topk_fast_total", "topk_compare", "topk_precision"])
 def test_every_item_is_a_candidate(spark, crowd, name):
     folder, connection = crowd
     ours, relation = plans.QUERIES[name](spark, folder), connection.sql(plans.ORACLES[name])

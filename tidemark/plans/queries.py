@@ -379,14 +379,14 @@ def _ranked_exact(spark, d):
 @query(f"""WITH {SHARDS}, {DAILY}, x AS (SELECT 'u' || user_id AS item, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, 'u' || user_id) AS rank FROM events GROUP BY user_id QUALIFY rank <= 10)
 SELECT rank, fast.item AS fast_item, x.item AS exact_item, fast.item IS NOT DISTINCT FROM x.item AS same, fast.item IN (SELECT item FROM x) AS in_exact FROM fast FULL JOIN x USING (rank)""")
 def topk_compare(spark, d):
-    fast = topk.fast_path(_plays(spark, d), "win", "shard", "item", 10, 2_000)[1]
+    fast = topk.fast_path(_plays(spark, d), "win", "shard", "item", 10)[1]
     return numbers(topk.compare(fast, _ranked_exact(spark, d), "item"), "rank")
 
 
 @query(f"""WITH {SHARDS}, {DAILY}, x AS (SELECT 'u' || user_id AS item FROM events GROUP BY user_id ORDER BY count(*) DESC, 'u' || user_id LIMIT 10)
 SELECT count(*) AS hits, count(*) / 10.0::DOUBLE AS precision FROM fast WHERE item IN (SELECT item FROM x)""")
 def topk_precision(spark, d):
-    return topk.precision(topk.fast_path(_plays(spark, d), "win", "shard", "item", 10, 2_000)[1], _ranked_exact(spark, d), "item", 10)
+    return topk.precision(topk.fast_path(_plays(spark, d), "win", "shard", "item", 10)[1], _ranked_exact(spark, d), "item", 10)
 
 
 @query()
