@@ -10,17 +10,19 @@ with the input. A cell hands on a spanning star for each of its connected parts,
 no more than its members.
 
 The pipeline's stage links texts whose sets of five-word shingles are similar (Jaccard) to 0.8 or
-more. Such pairs are about ten bits apart, too far for blocks, so the candidate search is another:
-MinHash, BANDS bands of BAND_ROWS values, of which a pair at 0.8 shares none with a chance of
-(1 - 0.8 ** 5) ** 32 = 3e-6, a closer pair less. Every candidate is verified on the whole sets. In a
-bucket each set is compared with the smallest and the greatest, and then, where that does not make
-the bucket one component, each with all of the other components, inside the bucket, which hands on
-one edge for each two components that it joins.
+more. It takes the SimHash of each set and links fingerprints by the same tables; a set stands for those
+of its fingerprint, and every link is verified on the whole sets. Pairs at 0.8 are about ten bits apart,
+most of them too far for SimHash at any radius that is not quadratic, so a second search adds what
+it does not reach: MinHash, BANDS bands of BAND_ROWS values, of which a pair at 0.8 shares none with a
+chance of (1 - 0.8 ** 5) ** 32 = 3e-6, a closer pair less. Its candidates are verified in the same way. In a
+bucket each set is compared with the smallest and the greatest, and then, where that and SimHash do not
+make the bucket one component, each with all of the other components, inside the bucket, which hands
+on one edge for each two components that it joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,7 @@ BUCKET = 256
 #: Blocks of a split, and splits: after the last, 8 bits are free, so a cell has 256 fingerprints at most.
 BLOCKS, LEVELS = 4, 3
 _CHUNK = 1 << 15
-#: The stage's shingles and least similarity, and its candidate search.
+#: The stage's shingles and least similarity, and its search beyond SimHash.
 STAGE_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 5
 #: Sets of a bucket that are compared in one place; larger buckets are compared part by part.
@@ -62,20 +64,25 @@ def _spans(words: list[bytes], shingle: int) -> tuple[bytes, list[int], list[int
     return joined, starts, ends
 
 
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """64 bits; a bit is 1 if set in over half the hashes of all parts."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int32)
+        n += len(hashes)
+    return int(np.packbits((2 * total > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64 bits; a bit is 1 if set in over half the hashes of the shingles, repeats included. No word: 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     joined, starts, ends = _spans(words, shingle)
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), _CHUNK):
-        part = zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])
-        hashes = np.array([digest(joined[a:b], seed) for a, b in part], np.uint64)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int32)
-    majority = (2 * total > len(starts)).astype(np.uint8)
-    return int(np.packbits(majority, bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    parts = (zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK]) for at in range(0, len(starts), _CHUNK))
+    return majority(np.array([digest(joined[a:b], seed) for a, b in part], np.uint64) for part in parts)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -190,19 +197,21 @@ def band_keys(members: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, mark, fp, n, bands): fp is a hash of the whole set of shingles, n its size."""
+    """(doc_id, mark, fp, n, simhash, bands): fp is a hash of the whole set of shingles, n its size, simhash its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
             fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            prints = [majority(s[at : at + _CHUNK] for at in range(0, len(s), _CHUNK)) for s in sets]
             bands = pa.array([band_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(fp), pa.array([len(s) for s in sets], pa.int32()), bands]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "n", "bands"])
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(fp), pa.array([len(s) for s in sets], pa.int32())]
+            columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "fp", "n", "simhash", "bands"])
 
     slim = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, mark long, fp long, n int, bands array<long>")
+    return slim.mapInArrow(run, f"doc_id {kind}, mark long, fp long, n int, simhash long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -241,17 +250,34 @@ def bucket_edges(sets: list[np.ndarray], root: np.ndarray, similarity: float) ->
     return found
 
 
-def similar_links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of `distinct.fp` that are similar and share a band."""
+def simhash_pairs(scratch: Scratch, distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(end, other), each (fp, n): the sets that SimHash links, to be verified.
+
+    Of the sets of one fingerprint that of the smallest fp stands for all: each is paired with it, and those that stand
+    for linked fingerprints with each other. The empty set has no pairs.
+    """
+    marked = distinct.where("n > 0").select("simhash", F.struct("fp", "n").alias("end"))
+    heads = scratch.write(marked.groupBy("simhash").agg(F.min("end").alias("head")), "heads")
+    near = links(scratch, heads.select(F.col("simhash").alias("fp")), bucket)
+    left, right = (heads.select(F.col("simhash").alias(c), F.col("head").alias(name)) for c, name in (("a", "end"), ("b", "other")))
+    far = near.join(left, "a").join(right, "b").select("end", "other")
+    same = marked.join(heads, "simhash").select("end", F.col("head").alias("other")).where("end.fp <> other.fp")
+    return scratch.write(same.unionByName(far), "simhash")
+
+
+def similar_links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of `distinct.fp` that are similar and share a band, or that SimHash links."""
+    near = simhash_pairs(scratch, distinct, bucket)
     rows = distinct.select("fp", "n", F.explode("bands").alias("key"))
     ends = rows.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("low"), F.max(F.struct("fp", "n")).alias("high")).where("low.fp <> high.fp")
     shared = scratch.write(rows.join(ends, "key"), "shared")
-    wanted = distinct.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    needed = shared.select("fp").union(near.select("end.fp")).union(near.select("other.fp")).distinct()
+    wanted = distinct.join(needed, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
     sets = scratch.write(sets_of(docs, scratch.write(wanted, "wanted"), shingle), "sets")
+    star = shared.select(F.explode(F.array("low", "high")).alias("end"), F.struct("fp", "n").alias("other")).where("end.fp <> other.fp").unionByName(near)
     # Sets that differ more in size cannot be similar.
-    star = shared.select("fp", "n", F.explode(F.array("low", "high")).alias("end")).where(F.col("fp") != F.col("end.fp"))
-    star = star.where(F.least("n", "end.n") / F.greatest("n", "end.n") >= similarity)
-    star = scratch.write(star.select(F.least("fp", "end.fp").alias("a"), F.greatest("fp", "end.fp").alias("b")).distinct(), "star")
+    star = star.where(F.least("end.n", "other.n") / F.greatest("end.n", "other.n") >= similarity)
+    star = scratch.write(star.select(F.least("end.fp", "other.fp").alias("a"), F.greatest("end.fp", "other.fp").alias("b")).distinct(), "star")
     left, right = (sets.select(F.col("fp").alias(c), F.col("members").alias(f"of_{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     checked = star.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("n"))
@@ -277,14 +303,14 @@ def similar_links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, shingl
 
 
 def similar_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """As near_groups, linking texts whose sets of shingles are similar; fp is a hash of the set.
+    """As near_groups, by SimHash and MinHash, linking texts whose sets of shingles are similar; fp is a hash of the set.
 
     Texts without a word have the same empty set.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     prints = scratch.write(sketches(docs, shingle), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")).alias("first")
-    distinct = scratch.write(prints.groupBy("fp").agg(first, F.min("n").alias("n"), F.min("bands").alias("bands")), "distinct")
+    distinct = scratch.write(prints.groupBy("fp").agg(first, F.min("n").alias("n"), F.min("simhash").alias("simhash"), F.min("bands").alias("bands")), "distinct")
     return _components(scratch, prints, distinct, similar_links(scratch, docs, distinct, shingle, similarity))
 
 
